@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_pii": "pii",
     "op3_simhash": "simhash",
+    "op7_licenses": "license_scan",
+    "op8_packing": "packing",
     "op10_webp": "webp",
 }
 
