@@ -134,13 +134,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     ``distinct`` has each fingerprint once, in ``fp``.
     """
     tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.lit(m).bitwiseAND(F.col("fp")).alias("key")) for i, m in enumerate(masks(radius))))
-    rows = distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
+    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # A number keeps the partitions from being merged for their few bytes: each row becomes one for every mask.
+    rows = distinct.repartition(parts, "fp").select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
     sizes = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = sizes.where(F.col("n") == 2).where(near).select("a", "b")
     members = rows.join(sizes.where("n > 2").select("t", "key", "n"), ["t", "key"])
     members = common.checkpointed(members.select("t", "key", "fp", "n"))
-    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     small = members.where(F.col("n") <= bucket).select("t", "key", "fp").repartition(parts, "t", "key").sortWithinPartitions("t", "key")
     forests = small.mapInArrow(_bucket_links(radius), "a long, b long")
     return pairs.union(forests).union(_hot_links(members.where(F.col("n") > bucket), radius))
