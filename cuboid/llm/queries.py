@@ -10,6 +10,7 @@ MODULES = {
     "op3_simhash": "simhash",
     "op7_licenses": "license_scan",
     "op8_packing": "packing",
+    "op9_decontamination": "decontam",
     "op10_webp": "webp",
 }
 
