@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module of this subpackage that has a function of that name.
 MODULES = {
     "op1_pii": "pii",
+    "op2_language": "langid",
     "op3_simhash": "simhash",
     "op7_licenses": "license_scan",
     "op8_packing": "packing",
