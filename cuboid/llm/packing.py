@@ -18,11 +18,15 @@ same sequence ids, which hold the task's partition in their high bits.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,8 +35,11 @@ from cuboid.llm import common
 CAPACITY, END = 2048, 1
 #: Remainders that wait in a task, and how few are left for the next ones to be mixed with.
 POOL, LOW = 768, 256
-_WORDS = 500_000
-_MARKS = b".,!?;:"
+_WORDS = 700_000
+_MARKS = ".,!?;:"
+_END = np.array([END], "<u4")
+#: Texts that are encoded together hold so many bytes at most, or are one.
+_TOGETHER = 1 << 22
 
 
 class Encoder:
@@ -46,64 +53,60 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint16), 0
-
-    def _ids(self, word: bytes) -> list[int]:
-        core = word.rstrip(_MARKS)
-        if core and core is not word and core.decode().isalpha():
-            return self._part(core) + self._part(word[len(core) :])
-        return self._part(word)
-
-    def _part(self, part: bytes) -> list[int]:
-        found = self.parts.get(part)
-        if found is None:
-            found = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
-            self.parts[part] = found
-        return found
-
-    def _learn(self, word: bytes) -> int:
-        ids = self._ids(word)
-        n, k = len(self.index), len(ids)
-        if n == len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * n), np.resize(self.size, 2 * n)
-        while self.used + k > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + k] = ids
-        self.first[n], self.size[n] = self.used, k
-        self.used += k
-        self.index[word] = n
-        return n
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text and the end id."""
-        data = text.encode("utf-8", "replace")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.index: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _cores(self, cores: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one line: each gives one end-of-word token, its last."""
+        line = " ".join(cores)
+        if cores and unicodedata.is_normalized("NFC", line):
+            ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(cores):
+                data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                return [data[i:j] for i, j in zip(at, at[1:])]
+        return [self._one(x) for x in cores]
+
+    def _learn(self, words: list[str]) -> None:
+        cores = [w.rstrip(_MARKS) for w in words]
+        letters = list(map(str.isalpha, cores))
+        if not all(letters):
+            self.index.update((w, self._one(w) if w else b"") for w, ok in zip(words, letters) if not ok)
+            words, cores = list(compress(words, letters)), list(compress(cores, letters))
+        ends = [w[len(c) :] for w, c in zip(words, cores)]
+        for x in set(ends) - self.marks.keys():
+            self.marks[x] = self._one(x)
+        self.index.update(zip(words, map(add, self._cores(cores), map(self.marks.__getitem__, ends))))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of whole texts, each with the end id; a null is empty.
+
+        Words are numbered per call in Arrow, so only distinct ones are looked up one by one.
+        """
+        if len(self.index) > _WORDS or len(self.marks) > _WORDS:
+            self.index.clear()
+            self.marks = {"": b""}
+        texts = pc.fill_null(texts, "")
         # Case doesn't matter to the ids, but for the names of special tokens.
-        words = (data if b"<|" in data else data.lower()).split()
-        if not words:
-            return np.array([END], np.uint16)
-        if len(self.index) > _WORDS or len(self.parts) > _WORDS:
-            self._clear()
-        found = list(map(self.index.get, words))
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        listed = pc.ascii_split_whitespace(low)
+        words = listed.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        found = list(map(self.index.get, distinct))
         if None in found:
-            get = self.index.get
-            for i, x in enumerate(found):
-                if x is None:
-                    known = get(words[i])
-                    found[i] = self._learn(words[i]) if known is None else known
-        at = np.array(found)
-        size = self.size[at]
-        total = int(size.sum())
-        shift = self.first[at] - np.cumsum(size) + size
-        out = np.empty(total + 1, np.uint16)
-        out[:total] = self.pool[np.repeat(shift, size) + np.arange(total)]
-        out[total] = END
-        return out
+            self._learn([w for w, x in zip(distinct, found) if x is None])
+            found = list(map(self.index.__getitem__, distinct))
+        taken = pa.array(found, pa.large_binary()).take(words.indices)
+        ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4 if len(taken) else np.zeros(1, np.int64)
+        at = ends[listed.offsets.to_numpy() - listed.offsets[0].as_py()].tolist()
+        return [np.append(ids[i:j], _END) for i, j in zip(at, at[1:])]
 
 
 def fill(counts: dict[int, int], target: int) -> tuple[dict[int, int], int]:
@@ -157,7 +160,7 @@ class Packer:
         for at in range(0, whole, self.capacity):
             yield [(doc, at, ids[at : at + self.capacity])]
         if whole < len(ids):
-            self._put(doc, whole, ids[whole:])
+            self._put(doc, whole, ids[whole:].copy())
             if self.n >= self.most:
                 while self.n > self.low:
                     yield self._window()
@@ -207,7 +210,7 @@ def _pack(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]
             nonlocal n
             offset = 0
             for (doc_id, tokens), start, ids in window:
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), tokens, high | n, offset))
+                rows.append((doc_id, start, len(ids), zlib.crc32(ids), tokens, high | n, offset))
                 offset += len(ids)
             n += 1
 
@@ -217,12 +220,18 @@ def _pack(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                for window in packer.add((doc_id.as_py(), len(ids)), ids):
-                    keep(window)
-                if len(rows) > 20_000:
-                    yield out()
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+            low = 0
+            while low < batch.num_rows:
+                before = size[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(size, before + _TOGETHER, "right")))
+                part = batch.slice(low, high - low)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+                    for window in packer.add((doc_id, len(ids)), ids):
+                        keep(window)
+                    if len(rows) > 20_000:
+                        yield out()
+                low = high
         for window in packer.end():
             keep(window)
         if rows:
