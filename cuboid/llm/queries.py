@@ -9,6 +9,7 @@ MODULES = {
     "op1_pii": "pii",
     "op2_language": "langid",
     "op3_simhash": "simhash",
+    "op4_suffix": "suffix_dedup",
     "op5_brown": "brown_lm",
     "op6_html": "html_extract",
     "op7_licenses": "license_scan",
