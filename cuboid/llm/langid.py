@@ -114,7 +114,7 @@ class Model:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(grams(t.as_py() or "")) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["grams", "lang"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["grams", "lang", "rank"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
@@ -130,7 +130,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     hashed = F.xxhash64(F.lit("language"), F.col("doc_id"))
     few = rows.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(F.pmod(hashed, F.lit(1 << 20)) < F.col("share") * (1 << 20))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id", "text"))).where(F.col("rank") <= each)
-    got = ranked.orderBy("lang", "rank").select("text", "lang").mapInArrow(_sets, "grams array<int>, lang string").toArrow()
+    # Few tasks for a bounded sample: each one keeps a Python worker.
+    got = ranked.select("text", "lang", "rank").coalesce(4).mapInArrow(_sets, "grams array<int>, lang string, rank int").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     keep = [(g, x) for g, x in zip(got["grams"].to_pylist(), got["lang"].to_pylist()) if g]
     return Model([np.array(g) for g, _ in keep], [x for _, x in keep])
 
