@@ -10,18 +10,26 @@ from __future__ import annotations
 
 import numpy as np
 
-_WORD = 8
+_WORD = 7
 
 
-def _words(s: np.ndarray, at: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
-    """The k-th eight bytes of suffixes as numbers that sort as they do; what is behind a text's end sorts first."""
-    base = at + k * _WORD
-    out = np.zeros(len(at), np.uint64)
-    for i in range(_WORD):
-        inside = left > k * _WORD + i
-        value = np.where(inside, s[np.minimum(base + i, len(s) - 1)], 0).astype(np.uint64)
-        out = out << np.uint64(8) | value
-    return out
+def _words(s: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each position its next seven bytes and, last, how many of them its text has: numbers that sort as the strings do."""
+    n = len(s)
+    value = np.append(np.maximum(s - 1, 0), np.zeros(_WORD, s.dtype)).astype(np.uint64)
+    out = value[:n].copy()
+    for i in range(1, _WORD):
+        out = out << np.uint64(8) | value[i : i + n]
+    size = np.minimum(left, _WORD).astype(np.uint64)
+    cut = (np.uint64(_WORD) - size) * np.uint64(8)
+    return out >> cut << cut << np.uint64(8) | size
+
+
+def _word(words: np.ndarray, at: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
+    """The k-th word of the suffixes at these positions; 0 beyond a text's end."""
+    if not k:
+        return words[at]
+    return np.where(left > k * _WORD, words[np.minimum(at + k * _WORD, len(words) - 1)], np.uint64(0))
 
 
 def rising(s: np.ndarray) -> np.ndarray:
@@ -38,7 +46,7 @@ def rising(s: np.ndarray) -> np.ndarray:
     return up[following]
 
 
-def _direct(s: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+def _direct(words: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by their first ``depth`` symbols, by position among equals: words are compared only where those before are equal."""
     order = np.arange(len(at))
     group = np.zeros(len(at), np.int64)
@@ -46,22 +54,23 @@ def _direct(s: np.ndarray, at: np.ndarray, left: np.ndarray, depth: int) -> np.n
     for k in range(-(-depth // _WORD)):
         if not len(open_):
             break
-        word = _words(s, at[order[open_]], left[order[open_]], k)
-        # Of words that are equal with what is behind a text's end, the shorter one comes first.
-        size = np.clip(left[order[open_]] - k * _WORD, 0, _WORD)
-        new = np.lexsort((size, word, group[open_]))
-        order[open_] = order[open_][new]
-        word, size, held = word[new], size[new], group[open_]
-        same = np.append(False, (word[1:] == word[:-1]) & (size[1:] == size[:-1]) & (held[1:] == held[:-1]))
+        some = order[open_]
+        word, held = _word(words, at[some], left[some], k), group[open_]
+        new = np.lexsort((word, held)) if k else np.argsort(word, kind="stable")
+        order[open_] = some[new]
+        word = word[new]
+        same = np.zeros(len(open_), bool)
+        same[1:] = (word[1:] == word[:-1]) & (held[1:] == held[:-1])
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(open_))))
         group[open_] = open_[first]
-        alone = ~same & ~np.append(same[1:], False)
-        open_ = open_[~alone]
+        many = same.copy()
+        many[:-1] |= same[1:]
+        open_ = open_[many]
     return at[order]
 
 
 def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions in rising order, symbols, symbols left in its text) of all suffixes of the texts, in order at least by ``depth`` symbols.
+    """(positions in rising order, their words, symbols left in its text) of all suffixes of the texts, in order at least by ``depth`` symbols.
 
     The texts stand one after another, each behind it a symbol 0; those of the texts are one more than their bytes.
     """
@@ -74,8 +83,8 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     up[ends] = False
     seeds = np.flatnonzero(up)
     symbol_width = 257
-    # Symbols less one fit a byte.
-    seeds = _direct(s - 1, seeds, left[seeds], depth)
+    words = _words(s, left)
+    seeds = _direct(words, seeds, left[seeds], depth)
     first = s[seeds]
     bounds = np.searchsorted(first, np.arange(symbol_width + 1))
     pending: list[list[np.ndarray]] = [[] for _ in range(symbol_width)]
@@ -114,19 +123,24 @@ def suffix_array(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
         if len(own):
             out.append(own)
             induce(own, symbol)
-    return np.concatenate(out), s, left
+    return np.concatenate(out), words, left
 
 
-def common_prefixes(order: np.ndarray, s: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     """Whether each suffix and the one before it in order share ``depth`` symbols of their texts."""
     out = np.zeros(len(order), bool)
-    at = np.flatnonzero((left[order[1:]] >= depth) & (left[order[:-1]] >= depth)) + 1
+    enough = left[order] >= depth
+    at = np.flatnonzero(enough[1:] & enough[:-1]) + 1
     for low in range(0, depth, _WORD):
         if not len(at):
             break
-        n = min(_WORD, depth - low)
-        span = np.arange(low, low + n)
-        same = (s[order[at][:, None] + span] == s[order[at - 1][:, None] + span]).all(axis=1)
+        # A word that would pass the depth is taken further back: what it repeats is equal already.
+        back = max(0, low + _WORD - depth)
+        if back > low:
+            cut = np.uint64(8 * (_WORD - depth + 1))
+            same = words[order[at]] >> cut == words[order[at - 1]] >> cut
+        else:
+            same = words[order[at] + low - back] >> np.uint64(8) == words[order[at - 1] + low - back] >> np.uint64(8)
         at = at[same]
     out[at] = True
     return out

@@ -9,7 +9,8 @@ smaller id.  The answer is exact; suffixes meet only where they can share such a
    are merged in each task first: equal ones keep that of the smallest document, for the others the
    context is a repeat, decided on the spot.  What is left goes to blocks by the anchor's hash.
 2. Blocks.  Equal contexts are decided again, now among all.  Of the different contexts of an anchor,
-   those that agree in the 15 bytes before or behind it, as any two that share a window do, go on.
+   those go on that agree with another one in one of four strings of 41 bytes or more around it, as any
+   two that share a window do.
 3. Suffix arrays.  Their texts are fetched and gathered by anchor; a suffix array by two-stage sorting
    and adjacent common prefixes give the equal windows of each block, and the smallest document of each.
 4. The removed runs of each document are united and its other bytes hashed.
@@ -18,7 +19,7 @@ A hot anchor (a line that a large share of all documents has) would gather in on
 a hash-chosen share of the documents shows to be frequent are therefore dealt by the hash of each whole
 window around them, merged in each task; this changes where windows meet, never whether they do.
 
-Hashes of 64 bits within an anchor's group stand for contexts; everything else compares bytes.
+Hashes of 48 bits within an anchor's group stand for contexts; everything else compares bytes.
 
 Cases: null and empty texts lose nothing; so do rows without doc_id, which nobody is compared with;
 rows that share a doc_id are one document to others and don't shorten each other; an empty table
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,10 @@ from cuboid.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 20
 _SPAN = LENGTH - ANCHOR  # windows around an anchor, less one
-_HALF = _SPAN // 2
-_STEP, _CHUNK, _BLOCK = 1 << 20, 24 << 20, 24 << 20
+#: Strings around an anchor, from and to which place beside its start.  Contexts that share a window
+#: agree before the anchor in n and behind it in 30 - n bytes at least, and so in one of these.
+_AROUND = ((0, 41), (-10, 31), (-20, 21), (-30, 20))
+_STEP, _CHUNK, _BLOCK = 1 << 20, 16 << 20, 16 << 20
 #: Anchors that this many documents or more are expected to have are dealt by window; one in HOT_SHARE documents is asked.
 HOT, HOT_SHARE = 20_000, 16
 #: Bytes of contexts that one suffix array sorts at most, a single anchor's apart.
@@ -92,9 +96,9 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """For parts of a text: (hash, start of the context, its length, hash of the context, of what is before and behind the anchor), by anchor.
+    """For parts of a text: (hash, start of the context, its length, hash of the context, short hashes of strings around), by anchor.
 
-    Hashes of sides that are too short are 0.  A context says where in it its anchor stands.
+    Hashes of strings that aren't whole in the text are 0.  A context's hash says where in it its anchor stands.
     """
     data, n = np.frombuffer(text, np.uint8), len(text)
     margin = 2 * LENGTH
@@ -112,10 +116,12 @@ def anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         start, end = np.maximum(at - _SPAN, -low), np.minimum(at + ANCHOR + _SPAN, n - low)
         start = np.maximum(start, 0)
         context = hashes.at(start, end) ^ _mix((at - start).astype(np.uint64) * np.uint64(LENGTH * 4) + (end - start).astype(np.uint64))
-        before = np.where(at >= _HALF, hashes.at(np.maximum(at - _HALF, 0), at) | np.uint64(1), np.uint64(0))
-        behind_end = np.minimum(at + ANCHOR + _HALF, high - low)
-        behind = np.where(at + ANCHOR + _HALF <= n - low, hashes.at(at + ANCHOR, behind_end) | np.uint64(1), np.uint64(0))
-        yield keys[at], start + low, end - start, context, before, behind
+        around = np.zeros((len(at), len(_AROUND)), np.uint16)
+        for j, (a, b) in enumerate(_AROUND):
+            whole = np.flatnonzero((at + a >= -low) & (at + b <= n - low))
+            place = at[whole]
+            around[whole, j] = np.maximum(hashes.at(place + a, place + b) >> np.uint64(52), np.uint64(1))
+        yield keys[at], start + low, end - start, context, around
 
 
 def _windows(text: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +138,9 @@ def _windows(text: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.nda
 
 # --- rows of an exchange ---------------------------------------------------------------------------
 
-#: An occurrence: its group's hash, that of what must be equal, short hashes of both sides, document (a row of a table), place and length.
-_ROW = np.dtype([("group", "<u4"), ("same", "<u8"), ("before", "<u2"), ("behind", "<u2"), ("doc", "<u4"), ("start", "<u4"), ("length", "u1")])
+#: An occurrence: its group's hash, that of what must be equal, short hashes of strings around, document (a row of a table), place and length.
+_ROW = np.dtype([("group", "<u4"), ("same", "<u8"), *((f"around{j}", "<u2") for j in range(len(_AROUND))), ("doc", "<u4"), ("start", "<u4"), ("length", "u1")])
+_SAME = np.uint64((1 << 48) - 1)
 #: In ``length``, of a window that stands for itself.
 _WHOLE = 128
 _ALL = {"bucket": pa.int32(), "ids": pa.binary(), "keys": pa.binary(), "rows": pa.binary(), "doc_id": pa.int64(), "key": pa.int64(), "spans": pa.binary(), "group": pa.int64(), "start": pa.int64(), "length": pa.int32(), "context": pa.binary()}
@@ -180,15 +187,16 @@ def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> list[tuple]:
     """(doc_id, key, intervals) rows: one for each document."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    out = []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)]):
-        if b > a:
-            runs = np.column_stack(united(start[a:b].astype(np.int64), end[a:b].astype(np.int64))).astype("<u4")
-            out.append((int(ids[doc[a]]), int(keys[doc[a]]), runs.tobytes()))
-    return out
+    if not len(doc):
+        return []
+    # One number line with a stretch for each document unites all at once.
+    base = doc.astype(np.int64) << 33
+    first, last = united(base + start, base + end)
+    own = first >> 33
+    runs = np.column_stack([first - (own << 33), last - (own << 33)]).astype("<u4")
+    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+    data = runs.tobytes()
+    return [(i, k, data[8 * a : 8 * b]) for i, k, a, b in zip(ids[own[cuts[:-1]]].tolist(), keys[own[cuts[:-1]]].tolist(), cuts, cuts[1:])]
 
 
 # --- stages ----------------------------------------------------------------------------------------
@@ -203,42 +211,41 @@ def _find(buckets: int, hot: np.ndarray):
         least: dict[bytes, int] = {}
         for doc_id, _, text in docs:
             least[text] = min(doc_id, least.get(text, doc_id))
-        out, parts, table, decided = [], [], [], []
+        out, parts, table = [], [], []
         seen: set[tuple[int, int]] = set()
         for doc_id, key, text in docs:
             if (doc_id, key) in seen:
                 continue
             seen.add((doc_id, key))
             if least[text] < doc_id:
-                out.append((None, None, None, None, doc_id, key, np.array([0, len(text)], "<u4").tobytes()))
+                out.append((doc_id % buckets, None, None, None, doc_id, key, np.array([0, len(text)], "<u4").tobytes()))
                 continue
             doc = len(table)
             table.append((doc_id, key))
-            for group, start, length, same, before, behind in anchors(text):
+            for group, start, length, same, around in anchors(text):
                 frequent = np.isin(group, hot) if len(hot) else np.zeros(len(group), bool)
                 kept = ~frequent
-                parts.append((group[kept], same[kept], before[kept], behind[kept], np.full(int(kept.sum()), doc), start[kept], length[kept]))
+                parts.append((group[kept], same[kept], around[kept], np.full(int(kept.sum()), doc), start[kept], length[kept]))
                 if frequent.any():
                     whole, at = _windows(text, start[frequent], length[frequent])
-                    none = np.zeros(len(at), np.uint64)
-                    parts.append((whole, whole, none, none, np.full(len(at), doc), at, np.full(len(at), LENGTH | _WHOLE)))
+                    parts.append((whole, whole, np.zeros((len(at), len(_AROUND)), np.uint16), np.full(len(at), doc), at, np.full(len(at), LENGTH | _WHOLE)))
         if parts:
-            group, same, before, behind, doc, start, length = (np.concatenate(c) for c in zip(*parts))
-            del parts
+            group, same, around, doc, start, length = (np.concatenate(c) for c in zip(*parts))
+            parts.clear()
+            same &= _SAME
             ids, keys = (np.array(c, np.int64) for c in zip(*table))
             least_of, _ = _least(same, ids[doc])
             repeat = ids[doc] > least_of
             size = length & (_WHOLE - 1)
             decided = _spans(doc[repeat], start[repeat], (start + size)[repeat], ids, keys)
-            out += [(None, None, None, None, *x) for x in decided]
+            out += [(x[0] % buckets, None, None, None, *x) for x in decided]
             keep = np.flatnonzero(~repeat)
             group = _mix(group[keep])
             bucket = ((group >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             rows = np.zeros(len(keep), _ROW)
             rows["group"], rows["same"] = group.astype(np.uint32), same[keep]
-            rows["before"], rows["behind"] = before[keep] >> np.uint64(48), behind[keep] >> np.uint64(48)
-            rows["before"] |= before[keep] > 0
-            rows["behind"] |= behind[keep] > 0
+            for j in range(len(_AROUND)):
+                rows[f"around{j}"] = around[keep, j]
             rows["doc"], rows["start"], rows["length"] = doc[keep], start[keep], length[keep]
             order = np.lexsort((rows["group"], bucket))
             rows, bucket = rows[order], bucket[order]
@@ -280,8 +287,15 @@ def _least(same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _SECOND = "doc_id key spans bucket group start length"
 
 
-def _decide(bucket: int, blobs: list[tuple[bytes, bytes, bytes]]) -> list[tuple]:
-    """Stage 2: a whole block; rows with intervals, and rows of contexts whose texts must be compared."""
+def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Stage 2: a whole block; rows with intervals, old and new, and rows of contexts whose texts must be compared."""
+    known = held.filter(pc.is_valid(held["spans"]))
+    if known.num_rows:
+        for part in known.select(["doc_id", "key", "spans"]).to_batches():
+            yield _asked(part.columns, bucket)
+    blobs = [tuple(x.values()) for x in held.filter(pc.is_valid(held["rows"])).select(["ids", "keys", "rows"]).to_pylist()]
+    if not blobs:
+        return
     ids = np.concatenate([np.frombuffer(x, np.int64) for x, _, _ in blobs])
     keys = np.concatenate([np.frombuffer(x, np.int64) for _, x, _ in blobs])
     parts, base = [], 0
@@ -299,100 +313,121 @@ def _decide(bucket: int, blobs: list[tuple[bytes, bytes, bytes]]) -> list[tuple]
     twin |= np.append(twin[1:], False)
     rows = rows[order[twin]]
     if not len(rows):
-        return []
+        return
     doc_id = ids[rows["doc"]]
     least, _ = _least(rows["same"], doc_id)
     size = (rows["length"] & (_WHOLE - 1)).astype(np.int64)
     repeat = doc_id > least
     start = rows["start"].astype(np.int64)
-    out = [(*x, None, None, None, None) for x in _spans(rows["doc"][repeat], start[repeat], (start + size)[repeat], ids, keys)]
+    if spans := _spans(rows["doc"][repeat], start[repeat], (start + size)[repeat], ids, keys):
+        yield _asked([pa.array(c, _ALL[n]) for c, n in zip(zip(*spans), ("doc_id", "key", "spans"))], bucket)
     # The first of each different context; one of them at least must come from another document.
     rest = np.flatnonzero(~repeat & (rows["length"] < _WHOLE))
     _, first = np.unique(rows["same"][rest], return_index=True)
     rest = rest[first]
     need = np.zeros(len(rest), bool)
-    for side in ("before", "behind"):
-        has = np.flatnonzero(rows[side][rest] > 0)
-        key = rows["group"][rest[has]].astype(np.uint64) << np.uint64(16) | rows[side][rest[has]]
+    for j in range(len(_AROUND)):
+        around = rows[f"around{j}"][rest]
+        has = np.flatnonzero(around)
+        key = rows["group"][rest[has]].astype(np.uint64) << np.uint64(16) | around[has]
         by = np.argsort(key, kind="stable")
         met = np.append(False, key[by][1:] == key[by][:-1])
         met |= np.append(met[1:], False)
         need[has[by[met]]] = True
     rest = rest[need]
-    for i in rest.tolist():
-        d = rows["doc"][i]
-        out.append((int(ids[d]), int(keys[d]), None, bucket, int(rows["group"][i]), int(start[i]), int(size[i])))
-    return out
+    if len(rest):
+        doc = rows["doc"][rest]
+        yield _asked([pa.array(ids[doc]), pa.array(keys[doc]), None], bucket, rows["group"][rest].astype(np.int64), start[rest], size[rest].astype(np.int32))
+
 
+def _asked(cols: list, bucket: int, group=None, start=None, length=None) -> pa.RecordBatch:
+    """Rows of the second stage: with intervals, or with what is asked for."""
+    n = len(cols[0])
+    spans = pa.nulls(n, pa.binary()) if cols[2] is None else cols[2]
+    rest = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((group, pa.int64()), (start, pa.int64()), (length, pa.int32()))]
+    return pa.RecordBatch.from_arrays([cols[0], cols[1], spans, pa.array(np.full(n, bucket, np.int32)), *rest], _SECOND.split())
 
-def _by_bucket(fn, names: str, taken: str):
-    """Rows come sorted by bucket; calls ``fn(bucket, rows)`` for each whole one."""
-    fields = taken.split()
+
+def _by_bucket(fn):
+    """Rows come sorted by bucket; ``fn(bucket, rows)`` gives the batches of each whole one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(f)) for f in fields]
-            for bucket, *row in zip(batch.column(batch.schema.get_field_index("bucket")).to_pylist(), *cols):
-                if bucket != now and held:
-                    yield _batch(names, fn(now, held))
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(batch.schema.get_field_index("bucket")).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and bucket[a] != now:
+                    yield from fn(int(now), pa.Table.from_batches(held))
                     held = []
-                now = bucket
-                held.append(tuple(x.as_py() for x in row))
+                now = bucket[a]
+                held.append(batch.slice(a, b - a))
         if held:
-            yield _batch(names, fn(now, held))
+            yield from fn(int(now), pa.Table.from_batches(held))
 
     return run
 
 
+_THIRD = "bucket group doc_id key start context"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stage 3, first half: the texts of the contexts that one document was asked for."""
-    for batch in batches:
-        rows = []
-        for doc_id, key, text, asked in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "key", "text", "asked"))):
-            data = text.as_buffer()
-            for x in asked.as_py():
-                a = x["start"]
-                rows.append((x["bucket"], x["group"], doc_id.as_py(), key.as_py(), a, data[a : a + x["length"]].to_pybytes()))
-                if len(rows) > 20_000:
-                    yield _batch("bucket group doc_id key start context", rows)
-                    rows = []
-        yield _batch("bucket group doc_id key start context", rows)
-
-
-def _compare(bucket: int, held: list[tuple]) -> list[tuple]:
+    """Stage 3, first half: the texts of the contexts that documents were asked for."""
+    for whole in batches:
+        for low in range(0, whole.num_rows, 64):
+            batch = whole.slice(low, 64)
+            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            asked = col("asked")
+            times = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
+            flat = asked.flatten()
+            start, size = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
+            found, at = [], 0
+            for text, n in zip(col("text"), times.tolist()):
+                data = memoryview(text.as_buffer())
+                found += [bytes(data[a : a + k]) for a, k in zip(start[at : at + n].tolist(), size[at : at + n].tolist())]
+                at += n
+            doc_id, key = (pa.array(np.repeat(col(c).to_numpy(zero_copy_only=False), times)) for c in ("doc_id", "key"))
+            yield pa.RecordBatch.from_arrays([flat.field("bucket"), flat.field("group"), doc_id, key, flat.field("start"), pa.array(found, pa.binary())], _THIRD.split())
+
+
+def _compare(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
     """Stage 3, second half: suffix arrays over the contexts of anchors; whole anchors go together."""
-    held.sort(key=lambda x: x[0])
-    out, low = [], 0
-    while low < len(held):
-        high, size = low, 0
-        while high < len(held) and (size < _SORTED or held[high][0] == held[high - 1][0]):
-            size += len(held[high][4])
-            high += 1
-        out += _repeats(held[low:high])
+    held = held.sort_by("group").combine_chunks()
+    group = held["group"].to_numpy()
+    ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
+    size = np.cumsum(pc.binary_length(held["context"]).to_numpy())
+    low = 0
+    while low < len(group):
+        # As many anchors as fit, one at least.
+        fit = np.searchsorted(size[ends - 1], (size[low - 1] if low else 0) + _SORTED, "right") - 1
+        high = int(ends[max(fit, np.searchsorted(ends, low, "right"))])
+        part = held.slice(low, high - low)
+        rows = _repeats(*(part[c].to_numpy() for c in ("doc_id", "key", "start")), part["context"].to_pylist())
+        yield _batch("doc_id key spans", rows)
         low = high
-    return out
 
 
-def _repeats(rows: list[tuple]) -> list[tuple]:
-    ids, keys = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-    starts = np.array([r[3] for r in rows], np.int64)
-    texts = [r[4] for r in rows]
-    order, s, left = suffix_array(texts, LENGTH)
-    same = common_prefixes(order, s, left, LENGTH)
+def _repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> list[tuple]:
+    """Intervals of windows that stand in the context of a smaller document, too."""
+    order, words, left = suffix_array(texts, LENGTH)
+    same = common_prefixes(order, words, left, LENGTH)
     run = np.cumsum(~same)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), sizes)[order]
-    many = same | np.append(same[1:], False)
-    order, run, owner = order[many], run[many], owner[many]
+    many = same.copy()
+    many[:-1] |= same[1:]
+    order, run = order[many], run[many]
     if not len(order):
         return []
+    owner = np.repeat(np.arange(len(texts)), sizes)[order]
     firsts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
     least = np.repeat(np.minimum.reduceat(ids[owner], firsts), np.diff(np.append(firsts, len(run))))
     gone = ids[owner] > least
     order, owner = order[gone], owner[gone]
     at = starts[owner] + order - (np.cumsum(sizes) - sizes)[owner]
-    return _spans(owner, at, at + LENGTH, ids, keys)
+    _, first, doc = np.unique(np.column_stack([ids, keys]), axis=0, return_index=True, return_inverse=True)
+    return _spans(doc.ravel()[owner], at, at + LENGTH, ids[first], keys[first])
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -472,16 +507,14 @@ def removed_spans(rows: DataFrame, hot: int = HOT, share: int = HOT_SHARE) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // _BLOCK))
     found = long_.select("doc_id", "key", "text").mapInArrow(_find(buckets, _frequent(rows, hot, share)), _schema(_FIRST))
+    blocks = found.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
     # Written once: both kinds of rows are read from it.
-    found = common.written(found, "anchors")
-    blocks = found.where("bucket IS NOT NULL").select("bucket", "ids", "keys", "rows").repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
-    second = common.written(blocks.mapInArrow(_by_bucket(_decide, _SECOND, "ids keys rows"), _schema(_SECOND)), "blocks")
+    second = common.written(blocks.mapInArrow(_by_bucket(_decide), _schema(_SECOND)), "blocks")
     asked = second.where("spans IS NULL").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "group", "start", "length")).alias("asked"))
-    fetched = _joined(long_, common.written(asked, "asked")).mapInArrow(_contexts, _schema("bucket group doc_id key start context"))
+    fetched = _joined(long_, common.written(asked, "asked")).mapInArrow(_contexts, _schema(_THIRD))
     gathered = fetched.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
-    third = gathered.mapInArrow(_by_bucket(_compare, "doc_id key spans", "group doc_id key start context"), _schema("doc_id key spans"))
-    spans = found.where("spans IS NOT NULL").select("doc_id", "key", "spans").union(second.where("spans IS NOT NULL").select("doc_id", "key", "spans"))
-    return spans.union(third)
+    third = gathered.mapInArrow(_by_bucket(_compare), _schema("doc_id key spans"))
+    return second.where("spans IS NOT NULL").select("doc_id", "key", "spans").union(third)
 
 
 def deduplicated(docs: DataFrame, hot: int = HOT, share: int = HOT_SHARE) -> DataFrame:
