@@ -2,11 +2,11 @@
 
 A text becomes its lower-case words with single spaces.  Few fixed keywords decide whether any rule
 can match at all; in the texts that pass, each rule's own keyword decides whether its expression
-runs.  Detections carry a priority; one that lies inside a detection of higher priority is
-suppressed.  Everything is a projection over one scan: no exchange, and each row by itself.
+runs.  Detections carry a priority; one that lies inside a detection of higher priority, or inside a
+longer one of its own, is suppressed.  Everything is a projection over one scan: no exchange, and each row by itself.
 
 Cases: null and empty texts have no words and no labels; detections of one interval go by priority,
-and those of equal priority all stay; repeated rows give repeated results; an empty table gives an
+and those of equal priority on it all stay; repeated rows give repeated results; an empty table gives an
 empty result; other columns are not read; letters beyond A-Z keep their case.
 """
 
@@ -163,15 +163,25 @@ def _detections(line: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Labels and the highest priority of detections that lie in none of higher priority; ``found`` is sorted by start, then from the longest."""
-    empty = F.struct(F.array_repeat(F.lit(-1), TOP + 2).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
+    """Labels and the highest priority of detections that lie in none of higher priority, nor in a longer one of their own.
+
+    ``found`` is sorted by start, then from the longest: of each priority the furthest end so far, and the start of the first
+    detection that reached it, tell whether a detection lies in another one.
+    """
+    none = F.array_repeat(F.lit(-1), TOP + 2)
+    empty = F.struct(none.alias("ends"), none.alias("starts"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("best"))
 
     def step(acc: Column, x: Column) -> Column:
-        end, rank = -x["back"], -x["rank"]
+        start, end, rank = x["start"], -x["back"], -x["rank"]
+        own = F.element_at(acc["ends"], rank + 1)
         above = F.array_max(F.slice(acc["ends"], rank + 2, F.lit(TOP + 2)))
-        inside = above >= end
-        ends = F.transform(acc["ends"], lambda e, i: F.when(i == rank, F.greatest(e, end)).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(inside, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(x["label"]))).alias("labels"), F.when(inside, acc["best"]).otherwise(F.greatest(acc["best"], rank)).alias("best"))
+        inside = (above >= end) | (own > end) | ((own == end) & (F.element_at(acc["starts"], rank + 1) < start))
+        further = end > own
+        ends = F.transform(acc["ends"], lambda e, i: F.when((i == rank) & further, end).otherwise(e))
+        starts = F.transform(acc["starts"], lambda e, i: F.when((i == rank) & further, start).otherwise(e))
+        labels = F.when(inside, acc["labels"]).otherwise(F.array_union(acc["labels"], F.array(x["label"])))
+        best = F.when(inside, acc["best"]).otherwise(F.greatest(acc["best"], rank))
+        return F.struct(ends.alias("ends"), starts.alias("starts"), labels.alias("labels"), best.alias("best"))
 
     return F.aggregate(found, empty, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["best"].alias("best")))
 
