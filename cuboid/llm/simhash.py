@@ -18,6 +18,7 @@ repeated; an empty table gives an empty result; other columns of the input are n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -184,11 +185,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows without doc_id stay, as nothing can name one of them; of rows that share a doc_id one stays.
     """
     found = near_duplicates(docs)
-    kept = common.checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n")))
-    out = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left").where("doc_id IS NULL OR __kept IS NOT NULL")
-    if not kept.where("__n > 1").isEmpty():
-        once = out.where("__n > 1").dropDuplicates(["doc_id"])
-        out = out.where("doc_id IS NULL OR __n = 1").unionByName(once)
+    own, times = (f"__{uuid.uuid4().hex}" for _ in range(2))  # beside any columns of the input
+    kept = common.checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(times)))
+    out = docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left").where(F.col("doc_id").isNull() | F.col(own).isNotNull())
+    if not kept.where(F.col(times) > 1).isEmpty():
+        once = out.where(F.col(times) > 1).dropDuplicates(["doc_id"])
+        out = out.where(F.col("doc_id").isNull() | (F.col(times) == 1)).unionByName(once)
     return out.select(*docs.columns)
 
 
