@@ -203,14 +203,14 @@ def _pack(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]
         if path not in _encoder:
             _encoder[path] = Encoder(path)
         encoder, packer = _encoder[path], Packer(capacity)
-        high, n = TaskContext.get().partitionId() << 40, 0
+        task, n = TaskContext.get().partitionId() << 40, 0
         rows: list[tuple] = []
 
         def keep(window: list[tuple]) -> None:
             nonlocal n
             offset = 0
             for (doc_id, tokens), start, ids in window:
-                rows.append((doc_id, start, len(ids), zlib.crc32(ids), tokens, high | n, offset))
+                rows.append((doc_id, start, len(ids), zlib.crc32(ids), tokens, task | n, offset))
                 offset += len(ids)
             n += 1
 
