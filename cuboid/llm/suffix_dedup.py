@@ -45,7 +45,7 @@ _SPAN = LENGTH - ANCHOR  # windows around an anchor, less one
 #: Strings around an anchor, from and to which place beside its start.  Contexts that share a window
 #: agree before the anchor in n and behind it in 30 - n bytes at least, and so in one of these.
 _AROUND = ((0, 41), (-10, 31), (-20, 21), (-30, 20))
-_STEP, _CHUNK, _BLOCK = 1 << 20, 16 << 20, 16 << 20
+_STEP, _CHUNK, _BLOCK = 1 << 20, 8 << 20, 12 << 20
 #: Anchors that this many documents or more are expected to have are dealt by window; one in HOT_SHARE documents is asked.
 HOT, HOT_SHARE = 20_000, 16
 #: Bytes of contexts that one suffix array sorts at most, a single anchor's apart.
@@ -321,10 +321,10 @@ def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
     start = rows["start"].astype(np.int64)
     if spans := _spans(rows["doc"][repeat], start[repeat], (start + size)[repeat], ids, keys):
         yield _asked([pa.array(c, _ALL[n]) for c, n in zip(zip(*spans), ("doc_id", "key", "spans"))], bucket)
-    # The first of each different context; one of them at least must come from another document.
-    rest = np.flatnonzero(~repeat & (rows["length"] < _WHOLE))
-    _, first = np.unique(rows["same"][rest], return_index=True)
-    rest = rest[first]
+    # Different contexts, each once; the document that has one first may have it at several places.
+    own = np.flatnonzero(~repeat & (rows["length"] < _WHOLE))
+    _, first, which = np.unique(rows["same"][own], return_index=True, return_inverse=True)
+    rest = own[first]
     need = np.zeros(len(rest), bool)
     for j in range(len(_AROUND)):
         around = rows[f"around{j}"][rest]
@@ -334,7 +334,7 @@ def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
         met = np.append(False, key[by][1:] == key[by][:-1])
         met |= np.append(met[1:], False)
         need[has[by[met]]] = True
-    rest = rest[need]
+    rest = own[need[which]]
     if len(rest):
         doc = rows["doc"][rest]
         yield _asked([pa.array(ids[doc]), pa.array(keys[doc]), None], bucket, rows["group"][rest].astype(np.int64), start[rest], size[rest].astype(np.int32))

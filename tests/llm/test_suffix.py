@@ -52,6 +52,9 @@ def corpus():
         rows.append((rng.choice([None, i, i, i]), text))
     line = "a very common line that stands in many of the documents, word for word"
     rows += [(1000 + i, f"{rng.random()} {line} {rng.random()}") for i in range(60)]
+    for i in range(40):  # periods, which have one context at many places
+        word = rng.choice(["Are, ", "Erverzu ", "ab", "!! THE!! REAT"])
+        rows.append((2000 + i, f"{rng.random()} " * rng.randint(0, 2) + word * rng.randint(5, 40) + f" {rng.random()}" * rng.randint(0, 2)))
     rows += [(500, "a" * 300), (501, "a" * 120), (502, "ab" * 100), (503, "ba" * 60), (500, "a" * 300), (500, "zz" + "a" * 70), (504, None), (505, "x" * 49)]
     return rows
 
