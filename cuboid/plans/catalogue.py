@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuboid.functions import geometry as G
@@ -49,11 +49,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Lines as points, orders as boxes over their lines, and their SQL.
 
 _AXES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-_LINE_ID = F.concat_ws("-", "l_orderkey", "l_linenumber")
+
+
+def _line_id() -> Column:
+    return F.concat_ws("-", "l_orderkey", "l_linenumber")
 
 
 def _points(spark: SparkSession, sf_dir: str, dims: int = 2) -> DataFrame:
-    return R.records_from_points(_table(spark, sf_dir, "lineitem"), _LINE_ID, _AXES[:dims])
+    return R.records_from_points(_table(spark, sf_dir, "lineitem"), _line_id(), _AXES[:dims])
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def _points_sql(dims: int) -> str:
 @_registered(_points_sql(2))
 def range_points_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES[:2], _NARROW)
-    return found.select(_LINE_ID.alias("row_id"))
+    return found.select(_line_id().alias("row_id"))
 
 
 @_registered(_points_sql(3))
@@ -217,7 +220,7 @@ def box_intersection_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT l_returnflag, count(*) AS n, {_f('min(l_quantity)')} AS min_0, {_f('max(l_quantity)')} AS max_0, {_f('min(l_extendedprice)')} AS min_1, {_f('max(l_extendedprice)')} AS max_1 FROM lineitem GROUP BY 1"
 )
 def mbr_union_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = R.records_from_points(_table(spark, sf_dir, "lineitem"), _LINE_ID, _AXES[:2], keep=["l_returnflag"])
+    points = R.records_from_points(_table(spark, sf_dir, "lineitem"), _line_id(), _AXES[:2], keep=["l_returnflag"])
     return aggregate.union_by(points, "l_returnflag")
 
 

@@ -54,6 +54,11 @@ def records_from_groups(df: DataFrame, row_id: str, coords: Sequence[str], coord
     return good.groupBy(F.col(row_id).cast("string").alias("row_id")).agg(*aggs)
 
 
+def _axis(points: Column, i: int) -> Column:
+    # A default argument would be taken for the element's place.
+    return F.transform(points, lambda p: p[i].cast("float"))
+
+
 def records_from_point_arrays(df: DataFrame, dims: int, row_id: str = "row_id", points: str = "points", invalid: str = "raise") -> DataFrame:
     """Records with all their points in one array; without points the box is the inverted one that nothing meets."""
     flat = F.flatten(F.col(points))
@@ -61,7 +66,7 @@ def records_from_point_arrays(df: DataFrame, dims: int, row_id: str = "row_id",
     checked = _checked(df, F.coalesce(whole, F.lit(False)), invalid)
     out = [F.col(row_id).cast("string").alias("row_id"), F.col(points).cast("array<array<double>>").alias("points")]
     for i in range(dims):
-        axis = F.transform(F.col(points), lambda p, i=i: p[i].cast("float"))
+        axis = _axis(F.col(points), i)
         out.append(F.coalesce(F.array_min(axis), F.lit(FLOAT_MAX).cast("float")).alias(f"min_{i}"))
         out.append(F.coalesce(F.array_max(axis), F.lit(-FLOAT_MAX).cast("float")).alias(f"max_{i}"))
     return checked.select(*out)
