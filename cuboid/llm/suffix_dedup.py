@@ -49,7 +49,7 @@ _STEP, _CHUNK, _BLOCK = 1 << 20, 8 << 20, 12 << 20
 #: Anchors that this many documents or more are expected to have are dealt by window; one in HOT_SHARE documents is asked.
 HOT, HOT_SHARE = 20_000, 16
 #: Bytes of contexts that one suffix array sorts at most, a single anchor's apart.
-_SORTED = 4 << 20
+_SORTED = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _tables: dict[str, np.ndarray] = {}
 
@@ -143,7 +143,7 @@ _ROW = np.dtype([("group", "<u4"), ("same", "<u8"), *((f"around{j}", "<u2") for
 _SAME = np.uint64((1 << 48) - 1)
 #: In ``length``, of a window that stands for itself.
 _WHOLE = 128
-_ALL = {"bucket": pa.int32(), "ids": pa.binary(), "keys": pa.binary(), "rows": pa.binary(), "doc_id": pa.int64(), "key": pa.int64(), "spans": pa.binary(), "group": pa.int64(), "start": pa.int64(), "length": pa.int32(), "context": pa.binary()}
+_ALL = {"bucket": pa.int32(), "ids": pa.binary(), "keys": pa.binary(), "rows": pa.binary(), "doc_id": pa.int64(), "key": pa.int64(), "spans": pa.binary(), "group": pa.int64(), "start": pa.int64(), "length": pa.int32(), "starts": pa.binary(), "context": pa.binary()}
 _SQL = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
 
 
@@ -284,7 +284,7 @@ def _least(same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, order
 
 
-_SECOND = "doc_id key spans bucket group start length"
+_SECOND = "doc_id key spans bucket group length starts"
 
 
 def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -334,17 +334,24 @@ def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
         met = np.append(False, key[by][1:] == key[by][:-1])
         met |= np.append(met[1:], False)
         need[has[by[met]]] = True
-    rest = own[need[which]]
-    if len(rest):
-        doc = rows["doc"][rest]
-        yield _asked([pa.array(ids[doc]), pa.array(keys[doc]), None], bucket, rows["group"][rest].astype(np.int64), start[rest], size[rest].astype(np.int32))
-
-
-def _asked(cols: list, bucket: int, group=None, start=None, length=None) -> pa.RecordBatch:
+    own, which = own[need[which]], which[need[which]]
+    if len(own):
+        # A document that has a context at several places, as periods do, is asked for it once.
+        order = np.lexsort((start[own], rows["doc"][own], which))
+        own, which = own[order], which[order]
+        doc = rows["doc"][own]
+        cuts = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (doc[1:] != doc[:-1])))
+        places, at = start[own].astype("<u4").tobytes(), [*cuts.tolist(), len(own)]
+        starts = [places[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+        head, doc = own[cuts], doc[cuts]
+        yield _asked([pa.array(ids[doc]), pa.array(keys[doc]), None], bucket, rows["group"][head].astype(np.int64), size[head].astype(np.int32), starts)
+
+
+def _asked(cols: list, bucket: int, group=None, length=None, starts=None) -> pa.RecordBatch:
     """Rows of the second stage: with intervals, or with what is asked for."""
     n = len(cols[0])
     spans = pa.nulls(n, pa.binary()) if cols[2] is None else cols[2]
-    rest = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((group, pa.int64()), (start, pa.int64()), (length, pa.int32()))]
+    rest = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((group, pa.int64()), (length, pa.int32()), (starts, pa.binary()))]
     return pa.RecordBatch.from_arrays([cols[0], cols[1], spans, pa.array(np.full(n, bucket, np.int32)), *rest], _SECOND.split())
 
 
@@ -370,7 +377,7 @@ def _by_bucket(fn):
     return run
 
 
-_THIRD = "bucket group doc_id key start context"
+_THIRD = "bucket group doc_id key starts context"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,14 +389,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = col("asked")
             times = pc.list_value_length(asked).to_numpy(zero_copy_only=False)
             flat = asked.flatten()
-            start, size = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("start", "length"))
+            size = flat.field("length").to_numpy(zero_copy_only=False)
+            start = np.array([int.from_bytes(x[:4], "little") for x in flat.field("starts").to_pylist()], np.int64)
             found, at = [], 0
             for text, n in zip(col("text"), times.tolist()):
                 data = memoryview(text.as_buffer())
                 found += [bytes(data[a : a + k]) for a, k in zip(start[at : at + n].tolist(), size[at : at + n].tolist())]
                 at += n
             doc_id, key = (pa.array(np.repeat(col(c).to_numpy(zero_copy_only=False), times)) for c in ("doc_id", "key"))
-            yield pa.RecordBatch.from_arrays([flat.field("bucket"), flat.field("group"), doc_id, key, flat.field("start"), pa.array(found, pa.binary())], _THIRD.split())
+            yield pa.RecordBatch.from_arrays([flat.field("bucket"), flat.field("group"), doc_id, key, flat.field("starts"), pa.array(found, pa.binary())], _THIRD.split())
 
 
 def _compare(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -404,13 +412,13 @@ def _compare(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
         fit = np.searchsorted(size[ends - 1], (size[low - 1] if low else 0) + _SORTED, "right") - 1
         high = int(ends[max(fit, np.searchsorted(ends, low, "right"))])
         part = held.slice(low, high - low)
-        rows = _repeats(*(part[c].to_numpy() for c in ("doc_id", "key", "start")), part["context"].to_pylist())
+        rows = _repeats(*(part[c].to_numpy() for c in ("doc_id", "key")), *(part[c].to_pylist() for c in ("starts", "context")))
         yield _batch("doc_id key spans", rows)
         low = high
 
 
-def _repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> list[tuple]:
-    """Intervals of windows that stand in the context of a smaller document, too."""
+def _repeats(ids: np.ndarray, keys: np.ndarray, starts: list[bytes], texts: list[bytes]) -> list[tuple]:
+    """Intervals of windows that stand in the context of a smaller document, too, at all places of their own context."""
     order, words, left = suffix_array(texts, LENGTH)
     same = common_prefixes(order, words, left, LENGTH)
     run = np.cumsum(~same)
@@ -425,9 +433,21 @@ def _repeats(ids: np.ndarray, keys: np.ndarray, starts: np.ndarray, texts: list[
     least = np.repeat(np.minimum.reduceat(ids[owner], firsts), np.diff(np.append(firsts, len(run))))
     gone = ids[owner] > least
     order, owner = order[gone], owner[gone]
-    at = starts[owner] + order - (np.cumsum(sizes) - sizes)[owner]
-    _, first, doc = np.unique(np.column_stack([ids, keys]), axis=0, return_index=True, return_inverse=True)
-    return _spans(doc.ravel()[owner], at, at + LENGTH, ids[first], keys[first])
+    if not len(order):
+        return []
+    base = owner << 33
+    at = base + order - (np.cumsum(sizes) - sizes)[owner]
+    first, last = united(at, at + LENGTH)
+    owner = first >> 33
+    # Each interval of a context stands at each of its places.
+    times = np.array([len(x) // 4 for x in starts], np.int64)
+    places = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+    n = times[owner]
+    which = np.repeat(np.arange(len(owner)), n)
+    place = places[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + (np.cumsum(times) - times)[owner[which]]]
+    shift = place - (owner << 33)[which]
+    _, some, doc = np.unique(np.column_stack([ids, keys]), axis=0, return_index=True, return_inverse=True)
+    return _spans(doc.ravel()[owner[which]], first[which] + shift, last[which] + shift, ids[some], keys[some])
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,7 +530,7 @@ def removed_spans(rows: DataFrame, hot: int = HOT, share: int = HOT_SHARE) -> Da
     blocks = found.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
     # Written once: both kinds of rows are read from it.
     second = common.written(blocks.mapInArrow(_by_bucket(_decide), _schema(_SECOND)), "blocks")
-    asked = second.where("spans IS NULL").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "group", "start", "length")).alias("asked"))
+    asked = second.where("spans IS NULL").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "group", "length", "starts")).alias("asked"))
     fetched = _joined(long_, common.written(asked, "asked")).mapInArrow(_contexts, _schema(_THIRD))
     gathered = fetched.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
     third = gathered.mapInArrow(_by_bucket(_compare), _schema("doc_id key spans"))
