@@ -214,6 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns as they are."""
+    common.bounded(docs.sparkSession)
     held = indexes(docs.sparkSession, benchmark)
     at = docs.columns.index("text")
 

@@ -387,6 +387,7 @@ _TOGETHER = 64
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_kept) for every row."""
+    common.bounded(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

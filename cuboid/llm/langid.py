@@ -151,6 +151,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def known(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language with at least this score."""
+    common.bounded(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

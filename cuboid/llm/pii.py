@@ -213,6 +213,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns as they are, but ``text`` redacted and ``n_chars`` (if there) counted anew; null texts stay null."""
+    common.bounded(docs.sparkSession)
     at = docs.columns.index("text")
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema: StructType = docs.schema
