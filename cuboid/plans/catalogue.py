@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuboid.functions import geometry as G
 from cuboid.functions.geometry import Box
 from cuboid.functions.ordering import float_to_sortable, natural_key, sortable_to_float
 from cuboid.operators import aggregate, join, query
+from cuboid.operators.ranking import ranked
 from cuboid.plans import layout
 from cuboid.sources import records as R
 from cuboid.sources.catalog import Registry
@@ -315,12 +316,11 @@ def page_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.page(found, ["l_orderkey", "l_linenumber", "l_quantity"], 100, 2)
 
 
-@_registered("SELECT s_name, count(*) OVER (ORDER BY CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT)) AS rank FROM supplier WHERE s_suppkey IS NOT NULL ORDER BY 2 LIMIT 100")
+@_registered("SELECT s_name, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '([0-9]+)', 1) AS BIGINT), s_suppkey) AS rank FROM supplier")
 def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred suppliers in natural order with their places."""
-    top = _table(spark, sf_dir, "supplier").where("s_suppkey IS NOT NULL").select("s_name", natural_key("s_name").alias("key")).orderBy("key").limit(100)
-    everywhere = F.row_number().over(Window.orderBy("key"))  # over a hundred rows
-    return top.select("s_name", everywhere.cast("long").alias("rank"))
+    """All suppliers' places in natural order."""
+    named = _table(spark, sf_dir, "supplier").select("s_name", "s_suppkey", natural_key("s_name").alias("key"))
+    return ranked(named, "key", "s_suppkey").select("s_name", "rank")
 
 
 @_registered("SELECT event_id, CAST(value AS FLOAT) AS back FROM events")

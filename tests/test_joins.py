@@ -81,3 +81,13 @@ def test_order_statistics(spark, slack):
         for p in (0.0, 0.5, 0.95, 1.0):
             assert got[g, p] == own[int(p * (len(own) - 1))]
     assert ("null", 0.5) not in got
+
+
+def test_ranks(spark):
+    from cuboid.operators.ranking import ranked
+
+    rng = random.Random(8)
+    rows = [(rng.random(), i) for i in range(2000)]
+    got = {r["i"]: r["rank"] for r in ranked(spark.createDataFrame(rows, "v double, i long").repartition(7), "v").collect()}
+    assert got == {i: k + 1 for k, (_, i) in enumerate(sorted(rows))}
+    assert ranked(spark.createDataFrame([], "v double"), "v").count() == 0
