@@ -19,6 +19,7 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _MARKUP = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|/[^>]*+>)""", re.S)
 _NAMES = re.compile(r"""(?i)(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -74,6 +75,8 @@ def blocks(page: str) -> list[Block]:
         tag, closing, attributes = tag.lower(), (m[1] or m[4]), (m[3] or m[6] or "")
         if closing:
             if tag not in INLINE:
+                if tag in HEADINGS:  # ends whatever heading is open
+                    tag = next((x[0] for x in reversed(stack) if x[0] in HEADINGS), tag)
                 if any(x[0] == tag for x in stack):
                     flush()
                     while stack.pop()[0] != tag:
@@ -117,6 +120,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in kinds:
                     del stack[i:]
                     break
+        elif tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            stack.pop()
         elif any(x[0] == "p" for x in stack):
             i = max(i for i, x in enumerate(stack) if x[0] == "p")
             if all(x[0] in INLINE for x in stack[i + 1 :]):

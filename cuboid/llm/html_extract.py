@@ -30,8 +30,8 @@ from cuboid.llm import common
 from cuboid.llm.html_blocks import Block, blocks
 
 SAMPLE, LARGEST = 160, 1 << 16
-BUILT, HIDDEN, EPOCHS, RATE, SEED = 2000, 24, 12, 0.012, 11
-PATHS, WORDS, SHAPE = 96, 24, 10
+BUILT, HIDDEN, EPOCHS, RATE, SEED = 4500, 24, 10, 0.012, 11
+PATHS, WORDS, SHAPE = 160, 24, 10
 DIM = 2 * PATHS + WORDS + SHAPE
 #: Elements, and names of elements, that hold no article text.
 CLUTTER = frozenset(
@@ -296,7 +296,7 @@ def _layouts(seed: int, count: int) -> Iterator[str]:
         if kind == "form":
             return f"<form action=\"/s\"{names('search', 'newsletter', 'subscribe', 'contact', 'login') if rng.random() < 0.6 else ''}><{rng.choice(('label', 'p', 'div'))}>{said('form', rng.randint(1, 6)) if rng.random() < 0.6 else prose(5, 80)}</p><input type=text><select><option>{word()}<option>{word()}</select><button>{said('form', 1)}</button></form>"
         if kind == "comments":
-            each = rng.choice(("<li><p>{}</p></li>", '<div class="comment"><p>{}</p></div>', '<div class="comment-body">{}</div>', "<li><b>{w}</b> {}</li>", "<article><p>{}</p></article>", '<div class="reply"><span>{w}</span><p>{}</p></div>', "<p>{}</p>"))
+            each = rng.choice(("<li><p>{}</p></li>", '<div class="comment"><p>{}</p></div>', '<div class="comment-body">{}</div>', "<li><b>{w}</b> {}</li>", "<article><p>{}</p></article>", '<article class="comment"><p>{}</p></article>', '<div class="reply"><span>{w}</span><p>{}</p></div>', "<p>{}</p>"))
             body = "".join(each.format(prose(5, 200) if rng.random() < 0.8 else said("comment", 6), w=word()) for _ in range(rng.randint(1, 6)))
             head = f"<h{rng.randint(2, 4)}>{said('comment', 2)}</h3>" if rng.random() < 0.6 else ""
             tag = rng.choice(("section", "div", "ol", "ul"))
@@ -318,7 +318,7 @@ def _layouts(seed: int, count: int) -> Iterator[str]:
         rng.shuffle(before)
         inside = article()
         for kind in ("ad", "cookie", "share", "side", "form", "comments", "nav"):
-            if rng.random() < 0.12:
+            if rng.random() < (0.25 if kind == "comments" else 0.12):
                 # Comments stand behind the article's text, other clutter anywhere in it.
                 inside.insert(len(inside) if kind == "comments" else rng.randint(0, len(inside)), clutter(kind))
         r = rng.random()

@@ -114,6 +114,7 @@ def test_blocks():
     got = blocks(page)
     assert got[3].linked == 4 and [t for t, _ in got[3].path] == ["html", "body", "ul", "li"]
     assert [b.text for b in blocks("<td>a<td>b<tr><td>c")] == ["a", "b", "c"]
+    assert [(b.text, [t for t, _ in b.path]) for b in blocks("<h3>a</h2><p>b</p><h2>c<h4>d</h4>e")] == [("a", ["h3"]), ("b", ["p"]), ("c", ["h2"]), ("d", ["h4"]), ("e", [])]
     assert blocks("") == [] and blocks("<p></p>") == [] and [b.text for b in blocks("<!-- open")] == []
     assert blocks('<div class="adBanner top_x" id=Side>z</div>')[0].path[-1] == ("div", ("ad", "banner", "top", "x", "side"))
     for odd in ("<" * 50_000, "<a " * 20_000, "<p a='" * 5_000, "&" * 50_000, "<div>" * 3_000 + "x"):
@@ -130,7 +131,7 @@ def test_held_out_layouts(model):
     vectors = html_extract.Vectors()
     probs = model.predict([vectors.of(p) for p in pages])
     right = np.concatenate([(p >= 0.5) == (y > 0.5) for p, y in zip(probs, labels)])
-    assert right.mean() > 0.985
+    assert right.mean() > 0.99
 
 
 def test_batches_do_not_change_labels(model):
