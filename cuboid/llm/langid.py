@@ -30,7 +30,7 @@ from cuboid.llm import common
 FOLDS = 5
 SAMPLE, CLASSES, LANDMARKS, RIDGE = 2400, 100, 192, 1e-3
 #: Below this score a text is rejected by ``known``.
-LEAST = 0.25
+LEAST = 0.2
 _BITS, _N = 6, (1 << 6) + (1 << 12) + (1 << 18)
 _BATCH = 64
 _table: list[np.ndarray] = []
