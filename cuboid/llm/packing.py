@@ -199,7 +199,7 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _encoder: dict[str | None, Encoder] = {}
 
 
-def _pack(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(path: str | None, capacity: int, keep_words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoder:
             _encoder[path] = Encoder(path)
@@ -235,15 +235,24 @@ def _pack(path: str | None, capacity: int) -> Callable[[Iterator[pa.RecordBatch]
                 low = high
         for window in packer.end():
             keep(window)
+        if not keep_words:
+            del encoder
+            _encoder.pop(path)
+            pa.default_memory_pool().release_unused()
         if rows:
             yield out()
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece.  tokenizer: the path of its file on the executors, by default that of the installed public one."""
-    return common.texts(docs).mapInArrow(_pack(tokenizer, capacity), SCHEMA)
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
+    """One row for each piece.
+
+    tokenizer: the path of its file on the executors, by default that of the installed public one.
+    keep_words: workers keep their table of words from task to task, which saves time and takes some
+    300 MB of each that has run one; without, the memory is free for other work on the same executors.
+    """
+    return common.texts(docs).mapInArrow(_pack(tokenizer, capacity, keep_words), SCHEMA)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
