@@ -179,12 +179,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest document of their component.
+def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that are the smallest document of their component, by ``found`` if it is given.
 
     Rows without doc_id stay, as nothing can name one of them; of rows that share a doc_id one stays.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     own, times = (f"__{uuid.uuid4().hex}" for _ in range(2))  # beside any columns of the input
     kept = common.checkpointed(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(times)))
     out = docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left").where(F.col("doc_id").isNull() | F.col(own).isNotNull())
