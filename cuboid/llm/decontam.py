@@ -4,12 +4,13 @@ Weights of an item are divided by the least score that a passage can have which
 share of its five-word shingles; the threshold of every item is then 1 and loses none of them.
 Block-max WAND: for each block of items and each term the index has the largest weight; the sum of
 these over a passage's terms bounds the scores of the whole block, and only blocks that reach the
-threshold are scored.  What is retrieved is verified: the share of the item's shingles in the
-passage, and the overlap with its question and its answer.
+threshold are scored.  What is retrieved is verified by the share of the item's shingles in the
+passage, and by nothing else; the overlap by words with its question and its answer is reported.
 
 Passages are windows of twice the longest entry, each half a window further, so that every entry that
-stands in a text stands whole in a window.  Items longer than ``LONGEST`` words are indexed in
-entries of at most that many.  The items go to the executors in parts of at most ``PART_BYTES``; a
+stands in a text stands whole in a window.  Then the whole text is one more passage, for entries whose
+parts are moved further apart, by any insertion.  Items longer than ``LONGEST`` words are indexed in
+entries of at most that many shingles, each shingle in one, so one of them has the share that the item has.  The items go to the executors in parts of at most ``PART_BYTES``; a
 larger benchmark means more passes.  No exchange: each row is decided by itself.
 
 Cases: null and empty texts and items match nothing; repeated rows are decided each; ties are all
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from cuboid.llm import common
 
-SHINGLE, SHARE, PART_OVERLAP = 5, 0.8, 0.5
+SHINGLE, SHARE = 5, 0.8
 LONGEST, BLOCK_ITEMS, PART_BYTES = 128, 16, 32 << 20
 K1, B = 1.2, 0.75
 _LETTERS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 64 < c < 91 else c for c in range(256))
 _WINDOWS = 256
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[bytes]:
@@ -50,6 +52,34 @@ def _boundary(text: str, n: int) -> int:
     return best
 
 
+def _codes(ids: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the k words from each place on."""
+    out = np.zeros(len(ids) - k + 1, np.uint64)
+    for j in range(k):
+        out = (out ^ ids[j : j + len(out)].astype(np.uint64)) * _TIMES
+        out ^= out >> np.uint64(32)
+    return out
+
+
+class Passage:
+    """Words of a passage, and its shingles sorted by their hash."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self._sorted: dict[int, tuple] = {}
+
+    def places(self, terms: np.ndarray, k: int) -> np.ndarray:
+        """Where each shingle of ``terms`` stands first, or -1."""
+        if k not in self._sorted:
+            codes = _codes(self.ids, k)
+            order = np.argsort(codes, kind="stable")
+            self._sorted[k] = codes[order], order
+        codes, order = self._sorted[k]
+        place = order[np.minimum(np.searchsorted(codes, _codes(terms, k)), len(order) - 1)]
+        rows = np.lib.stride_tricks.sliding_window_view
+        return np.where((rows(self.ids, k)[place] == rows(terms, k)).all(axis=1), place, -1)
+
+
 class Index:
     """Postings of the entries as term-by-entry weights in blocks of entries."""
 
@@ -60,9 +90,10 @@ class Index:
             listed = words(text or "")
             cut = _boundary(text, len(listed)) if listed else 0
             pieces = max(1, -(-len(listed) // LONGEST)) if listed else 0
-            size = -(-len(listed) // pieces) if pieces else 0
-            for at in range(0, len(listed), size or 1):
-                part = listed[at : at + size]
+            shingles = max(1, len(listed) - SHINGLE + 1)
+            size = -(-shingles // pieces) if pieces else 0
+            for at in range(0, shingles if listed else 0, size or 1):
+                part = listed[at : at + size + SHINGLE - 1]
                 asked = min(max(cut - at, 0), len(part)) if pieces == 1 else len(part) // 2
                 self.entries.append((item, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in part]), asked))
         self.vocabulary = vocabulary
@@ -152,35 +183,50 @@ class Index:
             scores = self.scores(pairs, window, terms)
             for p, e in np.argwhere(scores >= 1 - 1e-9):
                 start = (low + int(pairs[p, 0])) * stride
-                hit = self._verify(int(pairs[p, 1]) * BLOCK_ITEMS + int(e), ids[start : start + width])
+                hit = self._verify(int(pairs[p, 1]) * BLOCK_ITEMS + int(e), Passage(ids[start : start + width]))
                 if hit:
                     item, share, question, answer, first = hit
                     if item not in found or share > found[item][1]:
                         found[item] = (float(scores[p, e]), share, question, answer, start + first)
+        if len(ids) > width:
+            self._search_whole(ids, found)
         return [(item, *x) for item, x in sorted(found.items())]
 
-    def _verify(self, e: int, passage: np.ndarray):
+    def _search_whole(self, ids: np.ndarray, found: dict[int, tuple]) -> None:
+        """Adds the items that no window holds, but the text as a whole."""
+        terms = np.unique(ids[ids >= 0])
+        window = np.zeros(len(terms), np.int64)
+        pairs = np.argwhere(self.bounds(window, terms, 1) >= 1 - 1e-9)
+        if not len(pairs):
+            return
+        whole, here = Passage(ids), {}
+        for low in range(0, len(pairs), _WINDOWS):
+            scores = self.scores(pairs[low : low + _WINDOWS], window, terms)
+            for p, e in np.argwhere(scores >= 1 - 1e-9):
+                at = int(pairs[low + p, 1]) * BLOCK_ITEMS + int(e)
+                hit = None if self.entries[at][0] in found else self._verify(at, whole)
+                if hit and (hit[0] not in here or hit[1] > here[hit[0]][1]):
+                    here[hit[0]] = (float(scores[p, e]), *hit[1:])
+        found.update(here)
+
+    def _verify(self, e: int, passage: Passage):
         item, terms, asked = self.entries[e]
         k = min(SHINGLE, len(terms))
-        if len(passage) < k:
+        if len(passage.ids) < k:
             return None
-        there: dict[tuple, int] = {}
-        listed = passage.tolist()
-        for i in range(len(listed) - k, -1, -1):
-            there[tuple(listed[i : i + k])] = i
-        wanted = [there.get(tuple(x)) for x in np.lib.stride_tricks.sliding_window_view(terms, k).tolist()]
-        hits = [i for i, x in enumerate(wanted) if x is not None]
-        share = len(hits) / len(wanted)
+        places = passage.places(terms, k)
+        hits = np.flatnonzero(places >= 0)
+        share = len(hits) / len(places)
         if share < SHARE:
             return None
-        covered = np.zeros(len(terms), bool)
-        for i in hits:
-            covered[i : i + k] = True
-        question = float(covered[:asked].mean()) if asked else 1.0
-        answer = float(covered[asked:].mean()) if asked < len(terms) else 1.0
-        if question < PART_OVERLAP or answer < PART_OVERLAP:
-            return None
-        return item, share, question, answer, min(wanted[i] for i in hits)
+        # Where the item would begin and end around its shingles.
+        first = places[hits] - hits
+        there = np.isin(terms, passage.ids[max(0, int(first.min())) : int(first.max()) + len(terms)])
+        for j in range(k):
+            there[hits + j] = True
+        question = float(there[:asked].mean()) if asked else 1.0
+        answer = float(there[asked:].mean()) if asked < len(terms) else 1.0
+        return item, share, question, answer, int(places[hits].min())
 
 
 def indexes(spark: SparkSession, benchmark: DataFrame) -> list:

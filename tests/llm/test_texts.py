@@ -162,6 +162,28 @@ def test_every_item_that_stands_in_a_text_is_found():
                 assert i not in got
 
 
+def test_share_alone_decides():
+    """One-word edits, cut tails and insertions that leave 0.8 of the shingles: found; fewer: not."""
+    rng, seen = random.Random(8), 0
+    for size in (14, 30, 60, 131, 300):
+        body = [f"t{rng.randrange(400)}" for _ in range(size)]
+        item = " ".join(body[:-6]) + ". " + " ".join(body[-6:])
+        index, grams = decontam.Index([(1, item)]), [tuple(body[j : j + 5]) for j in range(size - 4)]
+        forms = [body[:-cut] for cut in range(1, 8)] + [[*body[:at], "edited", *body[at + 1 :]] for at in range(size)]
+        forms += [[*body[:at], *["inserted"] * n, *body[at:]] for at in range(1, size, 3) for n in (1, 40, 2000)]
+        for form in forms:
+            text = ["before"] * rng.choice([0, 50, 700]) + form + ["behind"] * rng.choice([0, 50, 700])
+            there = {tuple(text[j : j + 5]) for j in range(len(text) - 4)}
+            got, held = index.search(" ".join(text)), sum(g in there for g in grams) >= 0.8 * len(grams)
+            if size <= decontam.LONGEST:
+                assert bool(got) == held, (size, form)
+            elif held:
+                assert got, (size, form)
+            seen += held
+            assert all(0 <= h[3] <= 1 and 0 <= h[4] <= 1 for h in got)
+    assert seen > 500
+
+
 def test_long_items_are_found(spark):
     rng = random.Random(6)
     item = " ".join(f"t{rng.randrange(500)}" for _ in range(400)) + ". The answer is five words long here."
