@@ -1,6 +1,6 @@
 """License scans with DataFrame functions only: ordered signature rules behind a keyword prefilter.
 
-A text becomes its lower-case words with single spaces.  Few fixed keywords decide whether any rule
+A text becomes its lower-case words with single spaces.  The keywords of all rules decide whether any
 can match at all; in the texts that pass, each rule's own keyword decides whether its expression
 runs.  Detections carry a priority; one that lies inside a detection of higher priority, or inside a
 longer one of its own, is suppressed.  Everything is a projection over one scan: no exchange, and each row by itself.
@@ -23,10 +23,7 @@ from cuboid.llm import common
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 #: What parts words; A-Z are letters still when it is applied.
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: A text without any of these has no detection.
-PREFILTER = ("licen", "copyright", "cc by", "cc0", "creative commons", "public domain", "rights reserved", "hereby granted", "redistribution", "spdx", "gpl", "wtfpl", "warranty")
-
-# Names: label, keyword, expression over single-spaced words.
+# Names: label, keyword, expression over single-spaced words; a space in front of all words and one behind them count for keywords.
 _V = "(?:version |ver |v ?)?"
 _NAMES = [
     ("gpl-1.0", "gnu", f"gnu general public license {_V}1(?: 0)?"),
@@ -47,10 +44,10 @@ _NAMES = [
     ("gfdl", "gnu", "gnu free documentation license"),
     ("apache-1.1", "apache", f"apache (?:software )?license {_V}1 1"),
     ("apache-2.0", "apache", f"apache (?:software )?license {_V}2(?: 0)?"),
-    ("mit", "mit", "mit license"),
-    ("mit-0", "mit", "mit no attribution(?: license)?"),
+    ("mit", " mit ", "mit license"),
+    ("mit-0", " mit ", "mit no attribution(?: license)?"),
     ("x11", "x11", "x11 license"),
-    ("isc", "isc", "isc license"),
+    ("isc", " isc ", "isc license"),
     ("bsd", "bsd", "bsd (?:style )?license"),
     ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: license)?"),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: license)?"),
@@ -106,13 +103,13 @@ _TEXTS = (
     ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license", 5),
     ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license", 5),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 5),
-    ("boost", "boost", "accompanying file license 1 0 txt or copy at", 5),
+    ("boost", "accompanying file", "accompanying file license 1 0 txt or copy at", 5),
     ("zlib", "altered source", "altered source versions must be plainly marked as such", 5),
     ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in)?to the public domain", 3),
     ("all-rights-reserved", "rights reserved", "all rights reserved", 1),
     ("copyright-notice", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}", 1),
     ("proprietary", "proprietary", "proprietary and confidential", 2),
-    ("no-warranty", "as is", "provided as is without warranty", 1),
+    ("no-warranty", " as is ", "provided as is without warranty", 1),
     ("spdx", "spdx", "spdx license identifier [a-z0-9]+(?: [0-9]){0,2}", 3),
 )
 #: (label, keyword, expression, priority), in the order of their priority.
@@ -121,6 +118,9 @@ RULES = sorted(
     key=lambda r: -r[3],
 )
 TOP = max(r[3] for r in RULES)
+_WORDS = {r[1] for r in RULES} | {f" {phrase} " for phrase, _ in BASE}
+#: A text without any of these has no detection: the keywords of all rules and the base phrases, but those that hold another one.
+PREFILTER = tuple(sorted(w for w in _WORDS if not any(x != w and x in w for x in _WORDS)))
 
 
 def _words_in(piece: Column) -> Column:
@@ -190,7 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: words, places of the base phrases, labels and a score (share of the highest priority reached)."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     words = common.texts(docs).select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SEPARATORS, " ")).alias("words"))
-    low = F.lower("words")
+    low = F.concat(F.lit(" "), F.lower("words"), F.lit(" "))
     gate = None
     for word in PREFILTER:
         gate = F.contains(low, F.lit(word)) if gate is None else gate | F.contains(low, F.lit(word))

@@ -55,6 +55,52 @@ def test_license_rules(spark):
     assert len(license_scan.RULES) > 200 and all(re.compile(r[2]) for r in license_scan.RULES)
 
 
+def samples(pattern):
+    """Texts that an expression matches: each branch, each optional part with and without."""
+    parser = re._parser
+
+    def of(parts):
+        out = [""]
+        for op, x in parts:
+            if op is parser.LITERAL:
+                own = [chr(x)]
+            elif op is parser.ANY:
+                own = ["x"]
+            elif op is parser.IN:
+                own = [chr(v if k is parser.LITERAL else v[0]) for k, v in x[:2]]
+            elif op is parser.BRANCH:
+                own = [t for branch in x[1] for t in of(branch)]
+            elif op is parser.SUBPATTERN:
+                own = of(x[3])
+            else:
+                low, high, inner = x
+                own = [t * n for n in {low, min(high, low + 1)} for t in of(inner)]
+            out = [a + b for a in out for b in own]
+            if len(out) > 500:  # the first ones, and some of each later form
+                out = out[:: len(out) // 250]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_rule_passes_the_gate():
+    for label, word, pattern, _ in license_scan.RULES:
+        for text in samples(pattern):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert word in f" {text} " and any(x in f" {text} " for x in license_scan.PREFILTER), (label, text)
+
+
+def test_notices_of_few_words(spark):
+    cases = {
+        "BSD 3-Clause": "bsd-3-clause", "Simplified BSD": "bsd-2-clause", "new BSD": "bsd-3-clause", "the original BSD": "bsd-4-clause",
+        "CDDL, version 1.0": "cddl-1.0", "MIT No Attribution": "mit-0", "OpenRAIL-M": "rail", "Proprietary and confidential.": "proprietary",
+        "Altered source versions must be plainly marked as such": "zlib",
+        "Neither the name of the owner may be used to endorse or promote products": "bsd-3-clause",
+    }
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in range(len(cases))] == list(cases.values()) and all(r["score"] > 0 for r in got.values())
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 
