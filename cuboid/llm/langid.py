@@ -11,6 +11,10 @@ and 63 for lower-case letters, a-z apart and all others by their code point modu
 The model is fitted on ``SAMPLE`` labelled rows at most, dealt evenly over at most ``CLASSES``
 languages, the most frequent ones, and chosen by a hash of the id; everything else sees all rows.
 
+The scores of a text sum to 1 over the languages, so they can't tell that it is in none.  ``known`` goes by
+the share of the text's trigrams that the sampled rows of its language have.  The least share is
+calibrated for each language: on each half of its rows, with the trigrams of the other half.
+
 Cases: a null text or one without letters is ``und`` with score 0, as is every text if no row is
 labelled; ties go to the language that sorts first; repeated rows are decided each; an empty table
 gives an empty result; other columns are kept by ``known`` as they are.
@@ -29,9 +33,10 @@ from cuboid.llm import common
 
 FOLDS = 5
 SAMPLE, CLASSES, LANDMARKS, RIDGE = 2400, 100, 192, 1e-3
-#: Below this score a text is rejected by ``known``.
-LEAST = 0.2
+#: ``known`` rejects texts whose share of learned trigrams is below SLACK times the share that all but LOST of left-out rows have.
+SLACK, LOST = 0.8, 0.005
 _BITS, _N = 6, (1 << 6) + (1 << 12) + (1 << 18)
+_THREE = (1 << 6) + (1 << 12)
 _BATCH = 64
 _table: list[np.ndarray] = []
 
@@ -59,6 +64,12 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([s[s > 0], two + (1 << 6), three + (1 << 6) + (1 << 12)])
 
 
+def _share(learned: np.ndarray, codes: np.ndarray) -> float:
+    """Share of the trigrams among the codes whose bit is set; one is given to each text, as short ones have few."""
+    codes = codes[codes >= _THREE]
+    return (1 + np.count_nonzero(learned[codes >> 3] >> (codes & 7).astype(np.uint8) & 1)) / (1 + len(codes))
+
+
 class Model:
     """Landmarks over the n-grams that any of them has, and the weights of each language."""
 
@@ -87,14 +98,33 @@ class Model:
         self.mean = target.mean(axis=0) if len(langs) else np.zeros(0)
         fitted = np.linalg.solve(mapped.T @ mapped + ridge * len(sets) * np.eye(mapped.shape[1]), mapped.T @ (target - self.mean)) if len(sets) else np.zeros((0, 0))
         self.weights = (root @ fitted).astype(np.float32)
+        self.least, self.learned = np.zeros(len(self.langs)), np.zeros((len(self.langs), -(-_N // 8)), np.uint8)
+        for i, lang in enumerate(self.langs):
+            own = [x for x, y in zip(sets, langs) if y == lang]
+            halves = [self._union(own[::2]), self._union(own[1::2])]
+            self.learned[i] = halves[0] | halves[1]
+            if len(own) > 1:
+                self.least[i] = SLACK * np.quantile([_share(halves[1 - k % 2], x) for k, x in enumerate(own)], LOST)
+
+    @staticmethod
+    def _union(sets: list[np.ndarray]) -> np.ndarray:
+        """A bit for each n-gram that any row has."""
+        out = np.zeros(_N, bool)
+        for x in sets:
+            out[x] = True
+        return np.packbits(out, bitorder="little")
 
     def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
         """(language, score) of each text."""
+        return [x[:2] for x in self.scored(texts)]
+
+    def scored(self, texts: pa.Array) -> list[tuple[str, float, bool]]:
+        """(language, score, whether its trigrams are that language's) of each text."""
         out = []
         seen = np.zeros(_N, bool)
         for low in range(0, len(texts), _BATCH):
             part = texts.slice(low, _BATCH).to_pylist()
-            present, sizes = np.zeros((len(part), len(self.columns)), np.float32), np.zeros(len(part))
+            present, sizes, shares = np.zeros((len(part), len(self.columns)), np.float32), np.zeros(len(part)), np.zeros((len(part), len(self.langs)))
             for i, text in enumerate(part):
                 codes = grams(text) if text else ()
                 if len(codes):
@@ -102,12 +132,13 @@ class Model:
                     sizes[i] = np.count_nonzero(seen)
                     present[i] = seen[self.columns]
                     seen[codes] = False
+                    shares[i] = [_share(x, codes) for x in self.learned]
             if not self.langs:
-                out += [("und", 0.0)] * len(part)
+                out += [("und", 0.0, False)] * len(part)
                 continue
             scores = (present @ self.landmarks / np.sqrt(np.maximum(sizes, 1))[:, None].astype(np.float32)) @ self.weights + self.mean
             best = scores.argmax(axis=1)
-            out += [(self.langs[b], float(min(1.0, max(0.0, row[b])))) if size else ("und", 0.0) for b, row, size in zip(best, scores, sizes)]
+            out += [(self.langs[b], float(min(1.0, max(0.0, row[b]))), bool(share[b] >= self.least[b])) if size else ("und", 0.0, False) for b, row, size, share in zip(best, scores, sizes, shares)]
         return out
 
 
@@ -149,15 +180,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language with at least this score."""
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, by the trigrams of its best one."""
     common.bounded(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = held.value.predict(batch.column(at))
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in found], pa.bool_()))
+            found = held.value.scored(batch.column(at))
+            yield batch.filter(pa.array([x != "und" and own for x, _, own in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -171,3 +171,16 @@ def test_pages_table(spark):
         want = " ".join(html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner))).split())
         g = got[r["page_id"]]
         assert (g["text"], g["url"], g["n_chars"]) == (want, r["url"], len(want))
+
+
+def test_language_of_nothing_learned(spark):
+    """Other scripts, other spellings and letter noise are dropped; held-out texts of learned languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    held = docs.where("lang IS NOT NULL AND text IS NOT NULL").where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0").select("doc_id", "text")
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(40)) for _ in range(20)]
+    other = ["Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar."]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise + other)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.known(held.unionByName(more), model).collect()}
+    assert all(i >= 0 for i in kept) and len(kept) >= 0.99 * held.count()
