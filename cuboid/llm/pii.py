@@ -46,7 +46,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,40}+")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_PASSWORD = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|api_key|apikey|secret)\s?[=:]\s?([^\s,;\"'<>]{6,200})")
+_PASSWORD = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|api_key|apikey|secret)\s?[=:]\s?([^\s,;\"'<>]{6,}+)")
+_FREE = re.compile(b"\0+")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])")
 
 #: Words that raise a kind's score when they stand in the window before or behind a span.
@@ -151,7 +152,10 @@ def score(text: str, kind: str, start: int, end: int) -> float:
 
 
 def findings(text: str) -> list[Finding]:
-    """Base findings, which always stay, then the added ones that reach the threshold and overlap none that is stronger."""
+    """Base findings, which always stay, then the added ones that reach the threshold and overlap none that is stronger.
+
+    Of a password that overlaps a stronger finding the other pieces stay, so that none of it is left in a text.
+    """
     base = [Finding(k, a, b, score(text, k, a, b)) for k, a, b in base_spans(text)]
     more: list[Finding] = []
     if _DIGIT.search(text) or "=" in text or ":" in text:
@@ -169,6 +173,9 @@ def findings(text: str) -> list[Finding]:
             if x.score >= THRESHOLD and not any(covered[x.start : x.end]):
                 more.append(x)
                 covered[x.start : x.end] = b"\1" * (x.end - x.start)
+            elif x.score >= THRESHOLD and x.kind == "password":
+                more += [x._replace(start=x.start + m.start(), end=x.start + m.end()) for m in _FREE.finditer(covered[x.start : x.end])]
+                covered[x.start : x.end] = b"\1" * (x.end - x.start)
     more.sort(key=lambda x: (KINDS.index(x.kind), x.start))
     return base + more
 
