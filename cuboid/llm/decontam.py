@@ -269,7 +269,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             keep = [not any(part.value.search(x.as_py() or "") for part in held) for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.releasing(run), docs.schema)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

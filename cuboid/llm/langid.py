@@ -191,7 +191,7 @@ def known(docs: DataFrame, model: Model) -> DataFrame:
             found = held.value.scored(batch.column(at))
             yield batch.filter(pa.array([x != "und" and own for x, _, own in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.releasing(run), docs.schema)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,18 +35,19 @@ from cuboid.llm import common
 CAPACITY, END = 2048, 1
 #: Remainders that wait in a task, and how few are left for the next ones to be mixed with.
 POOL, LOW = 768, 256
-_WORDS = 700_000
+#: Words that a worker's table holds at most; fewer where it is given up when a task ends.
+_WORDS, _FEW_WORDS = 700_000, 120_000
 #: What may follow a word of letters: a run of these is one piece to the tokenizer; an apostrophe may not be.
 _MARKS = ".,!?;:*%&$#@()[]{}<>/|\\-_=+~^\""
 _END = np.array([END], "<u4")
 #: Texts that are encoded together hold so many bytes at most, or are one.
-_TOGETHER = 1 << 23
+_TOGETHER, _LITTLE = 1 << 23, 1 << 21
 
 
 class Encoder:
     """Token ids of whole texts, by a bounded table of words."""
 
-    def __init__(self, path: str | None = None) -> None:
+    def __init__(self, path: str | None = None, most: int = _WORDS) -> None:
         from tokenizers import Tokenizer
 
         if path is None:
@@ -57,6 +58,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.most = most
         self.index: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -90,7 +92,7 @@ class Encoder:
 
         Words are numbered per call in Arrow, so only distinct ones are looked up one by one.
         """
-        if len(self.index) > _WORDS or len(self.marks) > _WORDS:
+        if len(self.index) > self.most or len(self.marks) > self.most:
             self.index.clear()
             self.marks = {"": b""}
         texts = pc.fill_null(texts, "")
@@ -202,9 +204,10 @@ _encoder: dict[str | None, Encoder] = {}
 def _pack(path: str | None, capacity: int, keep_words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoder:
-            _encoder[path] = Encoder(path)
+            _encoder[path] = Encoder(path, _WORDS if keep_words else _FEW_WORDS)
         encoder, packer = _encoder[path], Packer(capacity)
         task, n = TaskContext.get().partitionId() << 40, 0
+        together = _TOGETHER if keep_words else _LITTLE
         rows: list[tuple] = []
 
         def keep(window: list[tuple]) -> None:
@@ -225,7 +228,7 @@ def _pack(path: str | None, capacity: int, keep_words: bool) -> Callable[[Iterat
             low = 0
             while low < batch.num_rows:
                 before = size[low - 1] if low else 0
-                high = max(low + 1, int(np.searchsorted(size, before + _TOGETHER, "right")))
+                high = max(low + 1, int(np.searchsorted(size, before + together, "right")))
                 part = batch.slice(low, high - low)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     for window in packer.add((doc_id, len(ids)), ids):
@@ -238,7 +241,7 @@ def _pack(path: str | None, capacity: int, keep_words: bool) -> Callable[[Iterat
         if not keep_words:
             del encoder
             _encoder.pop(path)
-            pa.default_memory_pool().release_unused()
+            common.release()
         if rows:
             yield out()
 
@@ -250,7 +253,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     tokenizer: the path of its file on the executors, by default that of the installed public one.
     keep_words: workers keep their table of words from task to task, which saves time and takes some
-    300 MB of each that has run one; without, the memory is free for other work on the same executors.
+    300 MB of each that has run one; without, the table is small and its memory is free for other work
+    on the same executors.
     """
     return common.texts(docs).mapInArrow(_pack(tokenizer, capacity, keep_words), SCHEMA)
 

@@ -234,7 +234,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[counted] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(cols[counted].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(rewrite, schema)
+    return docs.mapInArrow(common.releasing(rewrite), schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
