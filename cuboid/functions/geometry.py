@@ -185,6 +185,26 @@ def enlargement(a: Bounds, b: Bounds, mode: str = "exact") -> Column:
     return out
 
 
+def overlap_enlargement(a: Bounds, b: Bounds, siblings: Sequence[Box], mode: str = "exact") -> Column:
+    """How much more of the siblings' boxes a covers once it has grown to hold b.
+
+    compat: for each sibling the product, over the axes on which it starts before the grown box ends, of the
+    distance from its start to that end; 0 if there is no such axis or once the product is 0.
+    """
+    if mode not in ("exact", "compat"):
+        raise ValueError(f"unknown mode {mode}")
+    grown, out = union(a, b), F.lit(0.0)
+    for s in (x.bounds() for x in siblings):
+        if mode == "exact":
+            out = out + overlap(grown, s) - overlap(a, s)
+            continue
+        _pair(a, s)
+        far = [(grown.hi[i] - s.lo[i]).cast("double") for i in range(a.dims)]
+        met = reduce(lambda x, y: x | y, (x >= 0 for x in far))
+        out = out + F.when(met, reduce(mul, (F.when(x >= 0, x).otherwise(F.lit(1.0)) for x in far))).otherwise(F.lit(0.0))
+    return out
+
+
 def to_text(a: Bounds) -> Column:
     """``[(min, max) ...]``."""
     pairs = [F.concat(F.lit("("), a.lo[i].cast("string"), F.lit(", "), a.hi[i].cast("string"), F.lit(")")) for i in range(a.dims)]

@@ -57,3 +57,14 @@ def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
     base = df.groupBy(key).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"))
     places = order_statistics(df, key, value, (0.5, 0.95, 0.99)).groupBy(key).agg(*(F.max(F.when(F.col("share") == p, F.col("v"))).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))))
     return base.join(places.withColumnRenamed(key, "__k"), F.col(key).eqNullSafe(F.col("__k")), "left").drop("__k")
+
+
+def smoothed(df: DataFrame, key: str, bucket: Column, share: float) -> DataFrame:
+    """(key, rate): the number of rows in a bucket, exponentially smoothed over each key's buckets in their order, at the last one.
+
+    Only the counts of buckets meet in a task, not the rows; buckets without rows don't count.
+    """
+    counts = df.groupBy(F.col(key), bucket.alias("__b")).agg(F.count("*").cast("double").alias("__n"))
+    inorder = F.array_sort(F.collect_list(F.struct("__b", "__n")))
+    step = lambda rate, x: rate + F.lit(share) * (x["__n"] - rate)
+    return counts.groupBy(key).agg(inorder.alias("__x")).select(key, F.aggregate("__x", F.lit(0.0), step).alias("rate"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuboid.settings import shared_dir
+
 _SHIFT = 33  # monotonically_increasing_id: the partition stands above the row's place in it
 
 
@@ -18,8 +18,7 @@ def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame
     partition, are added to the place in the own one.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ranked-"))
+    shared_dir(spark)
     placed = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__id", _SHIFT)
     counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuboid.functions import checksums
 from cuboid.functions import geometry as G
 from cuboid.functions.geometry import Box
-from cuboid.functions.ordering import float_to_sortable, natural_key, sortable_to_float
+from cuboid.functions.ordering import float_to_sortable, natural_key, sortable_less, sortable_less_equal, sortable_to_float
 from cuboid.operators import aggregate, join, query
 from cuboid.operators.ranking import ranked
 from cuboid.plans import layout
+from cuboid.settings import shared_dir
 from cuboid.sources import records as R
 from cuboid.sources.catalog import Registry
-from cuboid.sources.table import IndexTable
+from cuboid.sources.files import Store
+from cuboid.sources.table import DURABILITY, IndexTable, time_table
+from cuboid.sources.upkeep import Policy, Upkeep
 from cuboid.streaming.ingest import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,12 +99,12 @@ def range_points_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered(_points_sql(3))
 def range_points_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.range_query(_points(spark, sf_dir, 3), Box(_LO[:3], _HI[:3])).select("row_id")
+    return query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES[:3], Box(_LO[:3], _HI[:3])).select(_line_id().alias("row_id"))
 
 
 @_registered(_points_sql(4))
 def range_points_4d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.range_query(_points(spark, sf_dir, 4), Box(_LO, _HI)).select("row_id")
+    return query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES, Box(_LO, _HI)).select(_line_id().alias("row_id"))
 
 
 _FROM_US, _TO_US = 1704412800000000, 1704844800000000  # five days
@@ -122,7 +127,8 @@ _POINT = "(SELECT l_quantity AS q, l_extendedprice AS p FROM lineitem ORDER BY l
 def point_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the first line stands."""
     first = _table(spark, sf_dir, "lineitem").orderBy("l_orderkey", "l_linenumber").first()
-    return query.point_query(_points(spark, sf_dir), (first["l_quantity"], first["l_extendedprice"])).select("row_id")
+    there = Box((first["l_quantity"], first["l_extendedprice"]))
+    return query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES[:2], there).select(_line_id().alias("row_id"))
 
 
 @_registered(f"SELECT row_id FROM {_OB} WHERE min_0 <= {_f(20)} AND max_0 >= {_f(10)} AND min_1 <= {_f(30000)} AND max_1 >= {_f(20000)}")
@@ -147,12 +153,12 @@ _EDGE = "(SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM linei
 def range_edge_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box whose sides are values that records have."""
     row = _table(spark, sf_dir, "lineitem").where("l_quantity = 10").agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
-    return query.range_query(_points(spark, sf_dir), Box((10, row[0]), (11, row[1]))).select("row_id")
+    return query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES[:2], Box((10, row[0]), (11, row[1]))).select(_line_id().alias("row_id"))
 
 
 @_registered(f"SELECT count(*) AS n FROM lineitem WHERE {_between('l_quantity', 1000, 2000)}")
 def range_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query.range_query(_points(spark, sf_dir), Box((1000, 0), (2000, 1e6))).agg(F.count("*").alias("n"))
+    return query.points_in_box(_table(spark, sf_dir, "lineitem"), _AXES[:2], Box((1000, 0), (2000, 1e6))).agg(F.count("*").alias("n"))
 
 
 @_registered("SELECT count(*) AS n FROM lineitem")
@@ -329,12 +335,12 @@ def sortable_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", sortable_to_float(float_to_sortable(F.col("value").cast("float"))).alias("back"))
 
 
-@_registered("SELECT vec_id FROM embeddings WHERE " + " AND ".join(f"embedding[{i}] BETWEEN {_f(-0.2)} AND {_f(0.15)}" for i in (1, 2, 3)))
+@_registered(f"SELECT vec_id FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: {_f('x')} BETWEEN {_f(-0.3)} AND {_f(0.3)})) = 64")
 def feature_range_64d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range on the first three of 64 dimensions."""
+    """A range on all of 64 dimensions."""
     embeddings = _table(spark, sf_dir, "embeddings")
-    points = R.records_from_points(embeddings, "vec_id", [F.col("embedding")[i] for i in range(3)], keep=["vec_id"])
-    return query.range_query(points, Box((-0.2,) * 3, (0.15,) * 3)).select("vec_id")
+    points = R.records_from_points(embeddings, "vec_id", [F.col("embedding")[i] for i in range(64)], keep=["vec_id"])
+    return query.range_query(points, Box((-0.3,) * 64, (0.3,) * 64)).select("vec_id")
 
 
 @_registered(f"SELECT 'line' AS field, count(*) AS n FROM lineitem WHERE {_between('l_quantity', 10, 20)} UNION ALL SELECT 'event', count(*) FROM events WHERE {_between('value', 10, 20)}")
@@ -350,9 +356,8 @@ def multi_field_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a written table: in the shared checkpoint folder if the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tables-")
+    """A new folder for a written table, in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 @_registered(_points_sql(2))
@@ -390,3 +395,360 @@ def stream_ingest_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = IndexTable.create(spark, f"{folder}/events", 1)
     ingest(R.records_from_points(events, "event_id", ["value"]), table, f"{folder}/checkpoint", available_now=True, name="events-" + folder[-8:]).awaitTermination()
     return table.refresh().query(Box((50,), (150,))).select("row_id")
+
+
+# Records, points and measures.
+
+
+@_registered(f"SELECT row_id, min_0, max_0, min_1, max_1 FROM {_OB} WHERE min_0 >= {_f(5)} AND max_0 <= {_f(45)} AND min_1 >= {_f(10000)} AND max_1 <= {_f(90000)}")
+def project_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.range_query(_boxes(spark, sf_dir), Box((5, 10000), (45, 90000)), "within")
+
+
+_INNER = f"min_0 <= {_f(20)} AND max_0 >= {_f(10)} AND min_1 <= {_f(30000)} AND max_1 >= {_f(20000)}"
+
+
+@_registered(f"SELECT b.row_id, count(*) AS n_points, CAST(sum(l_quantity) AS DOUBLE) AS total, max(l_extendedprice) AS furthest FROM {_OB} b JOIN lineitem l ON b.row_id = CAST(l.l_orderkey AS VARCHAR) WHERE {_INNER} GROUP BY 1")
+def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of records, as the doubles that they were."""
+    found = query.range_query(R.records_from_groups(_table(spark, sf_dir, "lineitem"), "l_orderkey", _AXES[:2], points=True), _NARROW)
+    total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p[0])
+    return found.select("row_id", F.size("points").cast("long").alias("n_points"), total.alias("total"), F.array_max(F.transform("points", lambda p: p[1])).alias("furthest"))
+
+
+@_registered(f"SELECT row_id, min_0, max_0, min_1, max_1 FROM {_OB}")
+def point_array_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records made from arrays of points."""
+    arrays = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in _AXES[:2]))).alias("points"))
+    return R.records_from_point_arrays(arrays, 2).drop("points")
+
+
+@_registered("SELECT count(*) AS n, 0 AS met, count(*) AS inverted FROM nation")
+def empty_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without points have the inverted box, which nothing meets."""
+    none = F.array().cast("array<array<double>>")
+    empty = R.records_from_point_arrays(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("row_id"), none.alias("points")), 2)
+    everything = Box((-1e30, -1e30), (1e30, 1e30)).bounds()
+    met = G.intersects(G.bounds(2), everything) | G.within(G.bounds(2), everything) | G.contains(G.bounds(2), everything)
+    return empty.agg(F.count("*").alias("n"), F.sum(met.cast("int")).cast("int").alias("met"), F.sum(G.is_empty(G.bounds(2)).cast("long")).alias("inverted"))
+
+
+@_registered(f"SELECT CAST(row_id AS BIGINT) % 7 AS tile, count(*) AS n, min(min_0) AS min_0, max(max_0) AS max_0, min(min_1) AS min_1, max(max_1) AS max_1 FROM {_OB} GROUP BY 1")
+def mbr_union_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.union_by(_boxes(spark, sf_dir), (F.col("row_id").cast("long") % 7).alias("tile"))
+
+
+@_registered(f"SELECT row_id, least(min_0, {_f(10)}) AS min_0, greatest(max_0, {_f(20)}) AS max_0, least(min_1, {_f(20000)}) AS min_1, greatest(max_1, {_f(30000)}) AS max_1 FROM {_OB}")
+def box_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's box grown to hold another one."""
+    grown = G.union(G.bounds(2), _NARROW.bounds())
+    return _boxes(spark, sf_dir).select("row_id", *(c.alias(n) for n, c in zip(G.bound_names(2), (x for pair in zip(grown.lo, grown.hi) for x in pair))))
+
+
+@_registered(f"SELECT row_id, '[(' || min_0 || ', ' || max_0 || ') (' || min_1 || ', ' || max_1 || ')]' AS text FROM {_OB}")
+def box_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(spark, sf_dir).select("row_id", G.to_text(G.bounds(2)).alias("text"))
+
+
+_SIBLINGS = (Box((5, 15000), (12, 26000)), Box((15, 28000), (30, 60000)), Box((40, 1000), (50, 5000)))
+
+
+def _sides_sql(box: Box, low: str, high: str) -> str:
+    return " * ".join(f"greatest(CAST(0 AS DOUBLE), CAST(least({high.format(i)}, {_f(box.hi[i])}) - greatest({low.format(i)}, {_f(box.lo[i])}) AS DOUBLE))" for i in range(2))
+
+
+_GROWN = [(f"least(min_{i}, {_f(a)})", f"greatest(max_{i}, {_f(b)})") for i, (a, b) in enumerate(zip(_LO[:2], _HI[:2]))]
+_G = f"(SELECT *, {_GROWN[0][0]} AS g0, {_GROWN[0][1]} AS h0, {_GROWN[1][0]} AS g1, {_GROWN[1][1]} AS h1 FROM {_OB})"
+_MORE = " + ".join(["CAST(0 AS DOUBLE)", *(f"({_sides_sql(x, 'g{}', 'h{}')}) - ({_sides_sql(x, 'min_{}', 'max_{}')})" for x in _SIBLINGS)])
+
+
+def _reach_sql(box: Box) -> str:
+    far = [f"CAST(h{i} - {_f(box.lo[i])} AS DOUBLE)" for i in range(2)]
+    return f"CASE WHEN {far[0]} >= 0 OR {far[1]} >= 0 THEN (CASE WHEN {far[0]} >= 0 THEN {far[0]} ELSE 1 END) * (CASE WHEN {far[1]} >= 0 THEN {far[1]} ELSE 1 END) ELSE 0 END"
+
+
+@_registered(f"SELECT row_id, ({_MORE})::DOUBLE AS exact, (CAST(0 AS DOUBLE) + {' + '.join(map(_reach_sql, _SIBLINGS))})::DOUBLE AS compat FROM {_G}")
+def box_overlap_enlargement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = G.bounds(2), _NARROW.bounds()
+    return _boxes(spark, sf_dir).select("row_id", G.overlap_enlargement(a, b, _SIBLINGS).alias("exact"), G.overlap_enlargement(a, b, _SIBLINGS, "compat").alias("compat"))
+
+
+@_registered(f"SELECT row_id, min_1 FROM {_OB} ORDER BY min_1, row_id LIMIT 50")
+def order_by_axis_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.order_by_axis(_boxes(spark, sf_dir), 1).select("row_id", "min_1").limit(50)
+
+
+@_registered(f"SELECT row_id, max_0 FROM {_OB} ORDER BY max_0, row_id LIMIT 50")
+def order_by_axis_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.order_by_axis(_boxes(spark, sf_dir), 0, upper=True).select("row_id", "max_0").limit(50)
+
+
+@_registered(f"SELECT row_id, {' * '.join(_WIDE)} - {_AREA} AS enlargement FROM {_OB} ORDER BY 2, 1 LIMIT 132")
+def least_enlargement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.least_enlargement(_boxes(spark, sf_dir), _NARROW, 132).select("row_id", "enlargement")
+
+
+@_registered(f"SELECT least(100, count(*)) AS n FROM lineitem WHERE {_between('l_quantity', 10, 20)}")
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller that stops after a page of 100 matches."""
+    return query.range_query(_points(spark, sf_dir, 1), Box((10,), (20,))).limit(100).agg(F.count("*").alias("n"))
+
+
+@_registered(f"SELECT event_id, {_f('value')} < {_f(100)} AS less, {_f('value')} <= {_f(100)} AS less_equal FROM events")
+def sortable_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-preserving integers compare as their floats do."""
+    x, y = float_to_sortable(F.col("value").cast("float")), float_to_sortable(F.lit(100.0).cast("float"))
+    return _table(spark, sf_dir, "events").select("event_id", x.alias("x"), y.alias("y")).select("event_id", sortable_less(F.col("x"), F.col("y")).alias("less"), sortable_less_equal(F.col("x"), F.col("y")).alias("less_equal"))
+
+
+_LOW_BYTES = "list_transform(range(1, len(s_name) + 1), lambda i: ascii(substr(s_name, i, 1)))"
+_ADLER = f"list_reduce(list_prepend(CAST(65536 AS BIGINT) * 0 + 1, list_transform({_LOW_BYTES}, lambda b: CAST(b AS BIGINT))), lambda s, b: ((s // 65536 + s % 65536 + b) % 65521) * 65536 + (s % 65536 + b) % 65521)"
+
+
+def _crc_sql(polynomial: int, ones: int) -> str:
+    shift = lambda x: f"xor({x} >> 1, CAST({polynomial} AS UBIGINT) * ({x} & 1))"
+    inner = f"list_reduce(list_prepend(xor(s, b), list_transform(range(8), lambda k: CAST(0 AS UBIGINT))), lambda c, k: {shift('c')})"
+    return f"xor(list_reduce(list_prepend(CAST({ones} AS UBIGINT), list_transform({_LOW_BYTES}, lambda b: CAST(b AS UBIGINT))), lambda s, b: {inner}), CAST({ones} AS UBIGINT))"
+
+
+@_registered(f"SELECT s_suppkey, {_ADLER} AS adler, CAST({_crc_sql(checksums.CRC32C, (1 << 32) - 1)} AS BIGINT) AS crc32c, lower(printf('%016x', {_crc_sql(checksums.CRC64, (1 << 64) - 1)})) AS crc64 FROM supplier")
+def checksums_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("s_name")
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", checksums.adler32(name).alias("adler"), checksums.crc32c(name).alias("crc32c"), F.lower(F.lpad(F.hex(checksums.crc64(name)), 16, "0")).alias("crc64"))
+
+
+# Measures of streams of values.
+
+
+@_registered("SELECT event_type, CAST(sum(user_id) AS BIGINT) AS counter, last(value ORDER BY ts, event_id) AS gauge FROM events GROUP BY 1")
+def counter_and_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per name the sum of what was added and the last value."""
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("user_id").alias("counter"), F.max_by("value", F.struct("ts", "event_id")).alias("gauge"))
+
+
+@_registered("SELECT event_type, count(value) AS n, round(sum(value), 3) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def histogram_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.histogram(_table(spark, sf_dir, "events"), "event_type", "value").select("event_type", "n", F.round("total", 3).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+_HOURS = "SELECT event_type, epoch_us(ts) // 3600000000 AS hour, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@_registered(f"SELECT event_type, round(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(n AS DOUBLE) ORDER BY hour)), lambda s, x: s + 0.2::DOUBLE * (x - s)), 9) AS rate FROM ({_HOURS}) GROUP BY 1")
+def ewma_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoothed number of events an hour, at the last hour of each type."""
+    hour = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") / 3_600_000_000)
+    return aggregate.smoothed(_table(spark, sf_dir, "events"), "event_type", hour, 0.2).select("event_type", F.round("rate", 9).alias("rate"))
+
+
+# Tables: their states, parts, recovery and upkeep.
+
+
+def _lines(spark: SparkSession, sf_dir: str, most: float | None = None, labels: tuple[str, ...] = ()) -> IndexTable:
+    """A new table of all lines in two epochs, those with a small quantity first."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 2, labels)
+    points = _points(spark, sf_dir)
+    table.append(points.where("min_0 <= 15"))
+    table.append(points.where("min_0 > 15"))
+    return table
+
+
+@_registered(_points_sql(2) + f" AND {_f('l_quantity')} <= {_f(15)}")
+def earlier_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).query(_NARROW, epoch=1).select("row_id")
+
+
+@_registered("SELECT count(*) AS n, 2 AS epoch, 2 AS parts, TRUE AS has_bytes, 0 AS wrong FROM lineitem")
+def table_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says, and that every record lies in its part's bounds."""
+    table = _lines(spark, sf_dir)
+    said = table.stats()
+    return table.read().agg(F.count("*").alias("n")).select("n", F.lit(said["epoch"]).alias("epoch"), F.lit(said["parts"]).alias("parts"), F.lit(said["bytes"] > 0).alias("has_bytes"), F.lit(table.validate()).cast("int").alias("wrong"))
+
+
+_EXTENT = f"count(*) AS n, {_f('min(l_quantity)')} AS min_0, {_f('max(l_quantity)')} AS max_0, {_f('min(l_extendedprice)')} AS min_1, {_f('max(l_extendedprice)')} AS max_1"
+
+
+@_registered(f"SELECT 0 AS level, {_EXTENT} FROM lineitem UNION ALL SELECT 1, {_EXTENT} FROM lineitem GROUP BY {_f('l_quantity')} <= 15")
+def index_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's node and those of its parts, from the bounds of stored files."""
+    return _lines(spark, sf_dir).nodes().where("level < 2").select("level", "n", *G.bound_names(2))
+
+
+@_registered("SELECT count(*) AS n, TRUE AS all_small FROM lineitem")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No file has more records than it may have."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 2)
+    table.append(_points(spark, sf_dir), most_rows=1000)
+    return table.zone_map().agg(F.sum("n").alias("n"), (F.max("n") <= 1000).alias("all_small"))
+
+
+@_registered(f"SELECT count(*) AS n, CAST(sum(CAST({_f('l_quantity')} AS BIGINT)) AS BIGINT) AS total FROM lineitem WHERE {_between('l_quantity', 10, 20)} AND {_between('l_extendedprice', 20000, 30000)}")
+def visit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A visitor that reduces the records of each batch; its results are reduced again."""
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"n": [len(b)], "total": [int(b["min_0"].sum())]})
+
+    return _lines(spark, sf_dir).visit(reduced, "n long, total long", _NARROW).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@_registered(f"SELECT count(*) AS n FROM lineitem WHERE {_between('l_extendedprice', 20000, 30000)}")
+def labelled_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range on the axis with a name."""
+    table = _lines(spark, sf_dir, labels=("quantity", "price"))
+    i = table.dimension("price")
+    low, high = [-1e30, -1e30], [1e30, 1e30]
+    low[i], high[i] = 20000, 30000
+    return table.query(Box(low, high)).agg(F.count("*").alias("n"))
+
+
+@_registered("SELECT unnest(['STRICT', 'BALANCED', 'EVENTUAL']) AS policy, 2 AS epoch, (SELECT count(*) FROM lineitem) AS n")
+def durability_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy commits whole batches; one that was committed, or has no rows, makes no epoch."""
+    out = None
+    for policy in DURABILITY:
+        table = IndexTable.create(spark, f"{_folder(spark)}/lines", 1, durability=policy)
+        points = _points(spark, sf_dir, 1)
+        for name, rows in (("a", points.where("min_0 <= 15")), ("a", points.where("min_0 <= 15")), ("b", points.where("min_0 > 15")), ("c", points.where("min_0 > 1e6"))):
+            table.append(rows, batch=name)
+        one = table.read().agg(F.count("*").alias("n")).select(F.lit(policy).alias("policy"), F.lit(table.epoch).alias("epoch"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_registered(_points_sql(2) + f" AND {_f('l_quantity')} <= {_f(15)}")
+def recovery_torn_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest manifest is cut short: the one before it is opened."""
+    table = _lines(spark, sf_dir)
+    store = Store(spark, table.path)
+    name = f"manifests/{table.epoch:09d}.json"
+    store.delete(name)
+    stream = store._fs.create(store._path(name), False)
+    stream.write(bytearray(b'{"epoch": 2, "par'))
+    stream.close()
+    return IndexTable.open(spark, table.path).query(_NARROW).select("row_id")
+
+
+@_registered(_points_sql(2))
+def recovery_missing_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest epoch's part is gone: its rows are committed again above it."""
+    table = _lines(spark, sf_dir)
+    Store(spark, table.path).delete(table._held["parts"][-1]["name"])
+    again = IndexTable.open(spark, table.path)
+    again.append(_points(spark, sf_dir).where("min_0 > 15"))
+    return IndexTable.open(spark, table.path).query(_NARROW).select("row_id")
+
+
+@_registered(f"SELECT count(*) FILTER ({_f('l_quantity')} <= 15) AS pinned, count(*) AS newest, 1 AS min_active FROM lineitem")
+def pinned_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader keeps its epoch while others are written, compacted and vacuumed."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 2)
+    points = _points(spark, sf_dir)
+    table.append(points.where("min_0 <= 15"))
+    reader = IndexTable.open(spark, table.path)
+    reader.pin()
+    table.append(points.where("min_0 > 15"))
+    table.compact()
+    table.vacuum()
+    newest = F.lit(table.count()).cast("long").alias("newest")
+    return reader.read().agg(F.count("*").alias("pinned")).select("pinned", newest, F.lit(table.min_active_epoch()).alias("min_active"))
+
+
+@_registered(f"SELECT count(*) AS n, count(*) FILTER ({_f('l_quantity')} > 15) AS flagged FROM lineitem")
+def widened_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column that only a later part has."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 2)
+    lines = _table(spark, sf_dir, "lineitem")
+    points = R.records_from_points(lines, _line_id(), _AXES[:2], keep=["l_returnflag"])
+    table.append(points.where("min_0 <= 15").drop("l_returnflag"))
+    table.append(points.where("min_0 > 15"))
+    return table.read().agg(F.count("*").alias("n"), F.count("l_returnflag").alias("flagged"))
+
+
+@_registered("SELECT count(*) AS n, TRUE AS few_parts, TRUE AS few_checkpoints, 8 AS commits FROM lineitem")
+def upkeep_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight commits under a policy that merges three small parts and checkpoints every second epoch."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 1)
+    upkeep = Upkeep(table, Policy(most_epochs=2, compact_parts=3))
+    points = _points(spark, sf_dir, 1)
+    for i in range(8):
+        table.append(points.where(F.pmod(F.xxhash64("row_id"), F.lit(8)) == i), batch=f"b{i}")
+        upkeep.committed()
+    upkeep.checkpoint()
+    n = IndexTable.open(spark, table.path, read_only=True).read().agg(F.count("*").alias("n"))
+    return n.select("n", F.lit(table.stats()["parts"] <= 3).alias("few_parts"), F.lit(len(table.checkpoints()) <= 2).alias("few_checkpoints"), F.lit(len(table._held["batches"])).alias("commits"))
+
+
+@_registered(f"SELECT count(*) FILTER ({_f('l_quantity')} <= 15) AS before, count(*) AS behind FROM lineitem")
+def search_while_inserting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader sees the state that it holds, and the new one once it asks for it."""
+    table = IndexTable.create(spark, f"{_folder(spark)}/lines", 1)
+    points = _points(spark, sf_dir, 1)
+    table.append(points.where("min_0 <= 15"))
+    reader = IndexTable.open(spark, table.path)
+    table.append(points.where("min_0 > 15"))
+    before = reader.read().agg(F.count("*").alias("n")).first()["n"]
+    return reader.refresh().read().agg(F.lit(before).alias("before"), F.count("*").alias("behind"))
+
+
+@_registered("SELECT count(*) AS n FROM events WHERE value IS NOT NULL")
+def time_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = time_table(spark, f"{_folder(spark)}/events")
+    table.append(R.records_from_points(_table(spark, sf_dir, "events"), "event_id", ["value"]))
+    return table.query(Box((-1e30,), (1e30,))).agg(F.count("*").alias("n"))
+
+
+_STEPS = """VALUES ('registered', 'line', 'registered', 0), ('loaded', 'line', 'loaded', 1), ('both', 'event', 'loaded', 2), ('cold', 'line', 'registered', 1),
+  ('idle', 'event', 'registered', 0), ('again', 'line', 'loaded', 1), ('unloaded', 'line', 'registered', 0), ('unknown', 'none', NULL, 0), ('removed', 'line', NULL, 0), ('saved', 'event', 'registered', 0)"""
+
+
+@_registered(f"SELECT * FROM ({_STEPS}) t(step, name, state, loaded)")
+def registry_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a registry says of its indexes from registration to removal, on a clock of its own."""
+    folder, now, seen = _folder(spark), [0.0], []
+    for name, frame in (("line", _points(spark, sf_dir, 1)), ("event", R.records_from_points(_table(spark, sf_dir, "events"), "event_id", ["value"]))):
+        IndexTable.create(spark, f"{folder}/tables/{name}", 1).append(frame)
+    registry = Registry(spark, StorageLevel.MEMORY_AND_DISK, clock=lambda: now[0])
+    registry.register_folder(f"{folder}/tables")
+
+    def step(what: str, name: str) -> None:
+        state = registry.state(name)
+        seen.append((what, name, None if state is None else state.value, len(registry.loaded())))
+        now[0] += 10
+
+    step("registered", "line")
+    registry.get("line")
+    step("loaded", "line")
+    registry.get("event")
+    step("both", "event")
+    registry.unload_cold(1)
+    step("cold", "line")
+    registry.unload_idle(5)
+    step("idle", "event")
+    registry.get("line")
+    step("again", "line")
+    registry.unload("line")
+    step("unloaded", "line")
+    step("unknown", "none")
+    registry.save(f"{folder}/catalog")
+    registry.remove("line")
+    step("removed", "line")
+    registry.reset()
+    registry.load(f"{folder}/catalog")
+    step("saved", "event")
+    return spark.createDataFrame(seen, "step string, name string, state string, loaded int")
+
+
+@_registered(f"SELECT count(*) AS n, 1 AS loaded FROM events WHERE {_between('value', 50, 150)}")
+def cached_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records kept in memory under a budget that only one index fits in."""
+    folder = _folder(spark)
+    registry = Registry(spark, policy="1KB")
+    for name, frame in (("line", _points(spark, sf_dir, 1)), ("event", R.records_from_points(_table(spark, sf_dir, "events"), "event_id", ["value"]))):
+        IndexTable.create(spark, f"{folder}/{name}", 1).append(frame)
+        registry.register(name, f"{folder}/{name}")
+    registry.get("line")
+    found = query.range_query(registry.frame("event"), Box((50,), (150,)))
+    return found.agg(F.count("*").alias("n")).select("n", F.lit(len(registry.loaded())).alias("loaded"))

@@ -43,11 +43,12 @@ def extent_of(records: DataFrame) -> list[tuple[float, float]]:
     return [(row[f"min_{i}"] or 0.0, row[f"max_{i}"] or 0.0) for i in range(dims)]
 
 
-def clustered(records: DataFrame, files: int, extent: list[tuple[float, float]] | None = None) -> DataFrame:
-    """Records ranged and sorted by the key: one exchange."""
+def clustered(records: DataFrame, files: int | None, extent: list[tuple[float, float]] | None = None) -> DataFrame:
+    """Records ranged and sorted by the key: one exchange.  Without a number of files adaptive execution sizes them."""
     key = z_key(extent or extent_of(records))
     keyed = records.withColumn("__z", key)
-    return keyed.repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z")
+    ranged = keyed.repartitionByRange("__z") if files is None else keyed.repartitionByRange(files, "__z")
+    return ranged.sortWithinPartitions("__z").drop("__z")
 
 
 def zone_map(stored: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A catalog of named indexes, loaded on first use and unloaded by age or to free memory."""
+"""A catalog of named indexes, loaded on first use and unloaded by age or to free memory.
+
+A cache policy says where loaded records are kept and how many bytes of tables may be loaded at once; the
+least recently used ones make room.  The catalog itself can be saved as a file and loaded again.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from enum import Enum
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from cuboid.metrics import metrics
+from cuboid.settings import UNITS, log, setting, size
 from cuboid.sources.files import Store
 from cuboid.sources.table import IndexTable
 
@@ -36,11 +42,34 @@ class _Entry:
     lock: threading.RLock = field(default_factory=threading.RLock)
 
 
-class Registry:
-    """Field name -> index.  ``storage`` keeps loaded records in memory or on disk; None leaves them to the scans."""
+class CachePolicy:
+    """Where loaded records are kept, and the bytes of tables that may be loaded; to be given as it is, or subclassed."""
+
+    def __init__(self, storage: StorageLevel | None = None, most: int | None = None, share: float | None = None) -> None:
+        self.storage, self.most, self.share = storage, most, share
 
-    def __init__(self, spark: SparkSession, storage: StorageLevel | None = None, on_load: Callable[[str], None] | None = None, on_unload: Callable[[str], None] | None = None, clock: Callable[[], float] = time.monotonic) -> None:
-        self._spark, self._storage, self._clock = spark, storage, clock
+    def budget(self, spark: SparkSession) -> int | None:
+        """Bytes; None for no limit.  A share is of the memory that the executors have for blocks."""
+        if self.share is None:
+            return self.most
+        status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().toList()
+        return int(self.share * sum(status.apply(i)._1() for i in range(status.size())))
+
+
+class Registry:
+    """Field name -> index.  ``storage`` keeps loaded records in memory or on disk; None leaves them to the scans.
+
+    policy: a CachePolicy or its text, which stands before ``storage``.
+    """
+
+    def __init__(self, spark: SparkSession, storage: StorageLevel | None = None, on_load: Callable[[str], None] | None = None, on_unload: Callable[[str], None] | None = None, clock: Callable[[], float] = time.monotonic, policy: CachePolicy | str | None = None) -> None:
+        if isinstance(policy, str):
+            found = cache_policy(policy)
+            if found is None:
+                raise ValueError(f"unknown cache policy {policy}")
+            policy = CachePolicy(*found)
+        self._policy = policy or CachePolicy(storage)
+        self._spark, self._storage, self._clock = spark, self._policy.storage, clock
         self._on_load, self._on_unload = on_load, on_unload
         self._entries: dict[str, _Entry] = {}
         self._lock = threading.RLock()
@@ -89,10 +118,23 @@ class Registry:
                     e.state = State.FAILED
                     raise
                 e.state = State.LOADED
+                metrics.counter("indexes_loaded").add()
                 if self._on_load:
                     self._on_load(name)
             e.used = self._clock()
-            return e.table
+            table = e.table
+        self._make_room(name)
+        return table
+
+    def _make_room(self, name: str) -> None:
+        """Unloads others, the least recently used first, while the loaded ones are beyond the policy's budget."""
+        most = self._policy.budget(self._spark)
+        for other in sorted(self.loaded(), key=lambda n: self._entries[n].used) if most is not None else ():
+            if self.memory() <= most:
+                break
+            if other != name:
+                log.info("unloading %s for %s", other, name)
+                self.unload(other)
 
     def frame(self, name: str) -> DataFrame | None:
         return self._entries[name].frame if self.get(name) is not None else None
@@ -149,6 +191,33 @@ class Registry:
         return sum(e.size for e in self._entries.values())
 
 
+    def save(self, path: str) -> int:
+        """Writes the catalog's roots as the next numbered file of a folder: name, path, dimensions, epoch and extent; gives its number."""
+        roots = []
+        for name in self.names():
+            e = self._entries[name]
+            table = IndexTable.open(self._spark, e.path, e.read_only)
+            roots.append({"name": name, "path": e.path, "read_only": e.read_only, "dims": table.dims, "epoch": table.epoch, "extent": table.extent()})
+        store = Store(self._spark, path)
+        number = max((int(n[:9]) for n in store.names("roots")), default=0) + 1
+        if not store.publish(f"roots/{number:09d}.json", {"roots": roots}):
+            raise RuntimeError("another writer has saved the catalog; try again")
+        return number
+
+    def load(self, path: str) -> int:
+        """Registers all roots of the newest saved catalog; gives the number of new ones."""
+        store = Store(self._spark, path)
+        names = store.names("roots")
+        if not names:
+            raise FileNotFoundError(f"no catalog in {path}")
+        return sum(self.register(r["name"], r["path"], r["read_only"], r["dims"]) for r in store.read(f"roots/{names[-1]}")["roots"])
+
+
+def default_registry(spark: SparkSession) -> Registry:
+    """A registry with the policy that the session or the environment sets."""
+    return Registry(spark, policy=setting("cache_policy", spark))
+
+
 #: Named cache policies.
 POLICIES = {"unlimited": StorageLevel.MEMORY_AND_DISK, "query": StorageLevel.MEMORY_AND_DISK, "mixed": StorageLevel.MEMORY_AND_DISK, "bulk": StorageLevel.DISK_ONLY, "minimal": None}
 
@@ -158,13 +227,12 @@ def cache_policy(spec: str) -> tuple[StorageLevel | None, int | None, float | No
     text = spec.strip().lower()
     if text in POLICIES:
         return POLICIES[text], None, None
-    units = {"kb": 1 << 10, "mb": 1 << 20, "gb": 1 << 30, "tb": 1 << 40}
     try:
         if text.endswith("%"):
             share = float(text[:-1]) / 100
             return (StorageLevel.MEMORY_AND_DISK, None, share) if 0 < share <= 1 else None
-        if text[-2:] in units:
-            return StorageLevel.MEMORY_AND_DISK, int(float(text[:-2]) * units[text[-2:]]), None
+        if text[-2:] in UNITS:
+            return StorageLevel.MEMORY_AND_DISK, size(text), None
     except ValueError:
         return None
     return None
