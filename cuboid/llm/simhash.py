@@ -6,10 +6,12 @@ positions in which two fingerprints differ span at most ``radius`` dimensions wh
 ``radius``, so some non-zero vector is orthogonal to all of them and its mask keeps none of them: the
 two collide in that mask's table, always.
 
-Copies are merged before anything is exchanged (one row for each fingerprint).  A bucket gives a
-spanning forest of its links, never its pairs.  Buckets beyond ``BUCKET`` are never gathered: two
-words differ in at most r bits if and only if some word is within r/2 of both, so their members meet
-in aggregated keys of that smaller radius, which needs no comparison and stays linear in the bucket.
+Copies are merged before anything is exchanged (one row for each fingerprint); the rows for all masks are
+exchanged once.  A bucket gives a spanning forest of its links, never its pairs.  Buckets beyond
+``BUCKET`` are never gathered: two words differ in at most r bits if and only if some word is within r/2
+of both, so their members meet in aggregated keys of that smaller radius, which needs no comparison and
+stays linear in the bucket.  Buckets that a hash-chosen share of the fingerprints shows to be very large go
+that way at once, so none of them is sent to one task.
 
 Cases: null and empty texts have fingerprint zero, linked like any other; a row without doc_id gets
 the component of its fingerprint, for which ids that are null don't count; repeated rows stay
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm import common
-from cuboid.llm.components import components
+from cuboid.llm.components import components, named, spread_join
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Fingerprints of a bucket that one task compares at once; larger buckets go another, exact way.
 BUCKET = 1024
+#: One in SHARE fingerprints is asked for large buckets; those of more than one in LARGE of all aren't exchanged by their key.
+SHARE, LARGE = 16, 4096
 _BLOCK = 1 << 15
 
 
@@ -100,33 +104,65 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(radius: int):
+def _bucket_links(radius: int, bucket: int):
+    names = ["t", "key", "a", "b"]
+
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    def hot(rows: np.ndarray) -> pa.RecordBatch:
+        return batch(rows[:, 0], rows[:, 1], rows[:, 2], pa.nulls(len(rows), pa.int64()))
+
+    def whole(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole buckets, which begin at the cuts; members of those that are too large."""
+        sizes = np.diff(np.append(cuts, len(rows)))
+        two = cuts[sizes == 2]
+        x, y = rows[two, 2], rows[two + 1, 2]
+        near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= radius
+        links = [np.column_stack([x[near], y[near]])]
+        for a, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            if n > bucket:
+                yield hot(rows[a : a + n])
+            elif pairs := forest(rows[a : a + n, 2].view(np.uint64), radius):
+                links.append(np.array(pairs, np.uint64).view(np.int64))
+        found = np.concatenate(links)
+        if len(found):
+            none = pa.nulls(len(found), pa.int64())
+            yield batch(none, none, found[:, 0], found[:, 1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by table and key; a bucket may go on in the next batch."""
-        held = np.empty((0, 3), np.int64)
-        for batch in _with_end(batches):
-            if batch is not None:
-                rows = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-                held = np.concatenate([held, rows]) if len(held) else rows
-            if not len(held):
+        """Rows come sorted by table and key; a bucket may go on in the next batch, and is passed on once it is too large."""
+        held, passed = np.empty((0, 3), np.int64), None
+        for new in batches:
+            rows = np.column_stack([new.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            if passed is not None:
+                n = int(np.argmin(np.append((rows[:, :2] == passed).all(axis=1), False)))
+                if n:
+                    yield hot(rows[:n])
+                if n == len(rows):
+                    continue
+                rows, passed = rows[n:], None
+            rows = np.concatenate([held, rows]) if len(held) else rows
+            if not len(rows):
                 continue
-            cuts = np.flatnonzero((held[1:, :2] != held[:-1, :2]).any(axis=1)) + 1
-            whole = len(held) if batch is None else (int(cuts[-1]) if len(cuts) else 0)
-            bounds = [0, *cuts[cuts < whole].tolist(), whole] if whole else []
-            links: list[tuple[int, int]] = []
-            for a, b in zip(bounds, bounds[1:]):
-                links += forest(np.unique(held[a:b, 2]).astype(np.uint64), radius)
-            held = held[whole:]
-            if links:
-                pairs = np.array(links, np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            cuts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            last = int(cuts[-1])
+            yield from whole(np.ascontiguousarray(rows[:last]), cuts[:-1])
+            held = rows[last:].copy()
+            if len(held) > bucket:
+                passed = held[0, :2].copy()
+                yield hot(held)
+                held = held[:0]
+        if len(held):
+            yield from whole(held, np.zeros(1, np.int64))
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def _dealt(distinct: DataFrame, radius: int) -> DataFrame:
+    """(t, key, fp): each fingerprint's key in every mask's table."""
+    tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.lit(m).bitwiseAND(F.col("fp")).alias("key")) for i, m in enumerate(masks(radius))))
+    return distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -134,18 +170,18 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
     ``distinct`` has each fingerprint once, in ``fp``.
     """
-    tables = F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.lit(m).bitwiseAND(F.col("fp")).alias("key")) for i, m in enumerate(masks(radius))))
     parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # A number keeps the partitions from being merged for their few bytes: each row becomes one for every mask.
-    rows = distinct.repartition(parts, "fp").select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
-    sizes = common.checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    pairs = sizes.where(F.col("n") == 2).where(near).select("a", "b")
-    members = rows.join(sizes.where("n > 2").select("t", "key", "n"), ["t", "key"])
-    members = common.checkpointed(members.select("t", "key", "fp", "n"))
-    small = members.where(F.col("n") <= bucket).select("t", "key", "fp").repartition(parts, "t", "key").sortWithinPartitions("t", "key")
-    forests = small.mapInArrow(_bucket_links(radius), "a long, b long")
-    return pairs.union(forests).union(_hot_links(members.where(F.col("n") > bucket), radius))
+    # Spread by another hash than the one they come by, which Spark would drop: each row becomes one for every mask.
+    spread = distinct.select("fp").repartition(parts, F.xxhash64("fp"))
+    some = _dealt(spread.where(F.pmod(F.xxhash64(F.lit("large"), "fp"), F.lit(SHARE)) == 0), radius)
+    most = max(bucket, distinct.count() // LARGE)
+    # At most LARGE for each mask, as every one has more than one in LARGE of the asked.
+    large = F.broadcast(common.checkpointed(some.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > most).select("t", "key")))
+    rows = _dealt(spread, radius)
+    by_key = rows.join(large, ["t", "key"], "left_anti").repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+    found = common.checkpointed(by_key.mapInArrow(common.releasing(_bucket_links(radius, bucket)), "t long, key long, a long, b long"))
+    hot = rows.join(large, ["t", "key"]).unionByName(found.where("b IS NULL").select("t", "key", F.col("a").alias("fp")))
+    return found.where("b IS NOT NULL").select("a", "b").union(_hot_links(common.checkpointed(hot), radius))
 
 
 def _hot_links(members: DataFrame, radius: int) -> DataFrame:
@@ -170,13 +206,10 @@ def _hot_links(members: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id, n_same): one row for each document."""
     fps = common.checkpointed(fingerprints(docs))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"))
-    roots = components(links(groups.select("fp"), radius, bucket))
-    joined = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n_same", F.coalesce("root", "fp").alias("root"))
-    linked = joined.where("root IS NOT NULL")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id", "n_same")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "n_same")
+    groups = common.checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")).where("fp IS NOT NULL"))
+    found = named(groups, components(links(groups.select("fp"), radius, bucket)), "fp", "rep")
+    # A fingerprint that many documents have is brought to them.
+    return spread_join(fps, found.select("fp", "component_id", "n_same", F.col("n_same").alias("n")), "fp", "n", fps.count()).select("doc_id", "fp", "component_id", "n_same")
 
 
 def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
