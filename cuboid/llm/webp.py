@@ -1,10 +1,11 @@
 """Media columns: lossless WebP written and read in numpy.
 
-A payload becomes rows of 16 RGBA pixels (64 bytes); each 16,384 rows, the format's largest height,
-are one WebP file, and the stored form is these files one after another.  The reader handles the
-whole lossless format: canonical prefix codes in groups, back-references, the colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms.  Files whose prefix codes all have
-one width, which ``flat`` writes, are read without a loop over pixels; all others pixel by pixel.
+A payload becomes rows of 16 RGBA pixels (64 bytes); each ``HIGHEST`` rows are one WebP file, and the
+stored form is these files one after another.  Files are written and read many at once (``webp_batch``):
+each has the transform that suits it best, copies, a colour cache where it helps, and fitted prefix
+codes.  Here are the format's parts and a plain reader, symbol by symbol, of the whole lossless format:
+canonical prefix codes in groups, back-references, the colour cache, and the predictor, cross-colour,
+subtract-green and palette transforms.
 
 Cases: a null or empty text is one block of 64 zero bytes; repeated rows give repeated results; an
 empty table gives an empty result; other columns are not read; memory follows the longest text.
@@ -20,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm import common
 
-ROW, BLOCK, HIGHEST = 16, 64, 16384
+ROW, BLOCK, HIGHEST = 16, 64, 64
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 
@@ -252,17 +254,6 @@ def _read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     codes = [[read_code(r, n) for n in sizes] for _ in range(n_groups)]
     total = width * height
-    if groups is None and min(c.width for c in codes[0][:4]) >= 0 and codes[0][0].symbols.max() < 256:
-        green, red, blue, alpha = codes[0][:4]
-        each = sum(c.width for c in codes[0][:4])
-        bits, at, out = r.take(each * total).reshape(total, each), 0, np.zeros(total, np.uint32)
-        for code, shift in ((green, 8), (red, 16), (blue, 0), (alpha, 24)):
-            rank = np.zeros(total, np.uint16)
-            for i in range(at, at + code.width):
-                rank = rank << 1 | bits[:, i]
-            at += code.width
-            out |= code.symbols.astype(np.uint32)[rank] << np.uint32(shift)
-        return out
     out, cache, n = [0] * total, [0] * (1 << cache_bits), 0
     shift = 32 - cache_bits
     across = -(-width >> group_bits) if group_bits else 0
@@ -380,6 +371,17 @@ def _packing(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
+def _coloured(ch: np.ndarray, height: int, across: int, bits: int, data: np.ndarray) -> np.ndarray:
+    """Colours of a palette by their indexes, several of which may be packed in one pixel."""
+    index = ch[:, 2].reshape(height, -1)
+    if bits:
+        each = 8 >> bits
+        index = (index[:, :, None] >> (np.arange(1 << bits) * each) & ((1 << each) - 1)).reshape(height, -1)[:, :across]
+    table = np.zeros((256, 4), np.uint8)
+    table[: len(data)] = data
+    return table[index.ravel()]
+
+
 def read_image(file: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file: (height, width, 4) of R, G, B, A."""
     if file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L":
@@ -416,13 +418,7 @@ def read_image(file: bytes) -> np.ndarray:
         elif kind == SUBTRACT_GREEN:
             ch = _greened(ch, 1)
         else:
-            index = ch[:, 2].reshape(height, -1)
-            if bits:
-                each = 8 >> bits
-                index = (index[:, :, None] >> (np.arange(1 << bits) * each) & ((1 << each) - 1)).reshape(height, -1)[:, :across]
-            table = np.zeros((256, 4), np.uint8)
-            table[: len(data)] = data
-            ch = table[index.ravel()]
+            ch = _coloured(ch, height, across, bits, data)
     return ch[:, [1, 2, 3, 0]].reshape(height, width, 4)
 
 
@@ -585,20 +581,49 @@ def payload(text: bytes) -> bytes:
     return text + bytes(-len(text) % BLOCK if text else BLOCK)
 
 
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Payloads as lossless WebP files, one for each ``HIGHEST`` rows, one after another."""
+    from cuboid.llm import webp_batch
+
+    pictures, times = [], []
+    for data in payloads:
+        rows = np.frombuffer(data, np.uint8).reshape(-1, ROW, 4)
+        parts = [rows[at : at + HIGHEST] for at in range(0, len(rows), HIGHEST)]
+        pictures += parts
+        times.append(len(parts))
+    files, at, out = webp_batch.write_images(pictures)[0], 0, []
+    for n in times:
+        out.append(b"".join(files[at : at + n]))
+        at += n
+    return out
+
+
 def store(data: bytes) -> bytes:
-    """A payload as lossless WebP files, one for each 16,384 rows."""
-    rows = np.frombuffer(data, np.uint8).reshape(-1, ROW, 4)
-    return b"".join(flat(rows[at : at + HIGHEST]) for at in range(0, len(rows), HIGHEST))
+    return store_many([data])[0]
+
+
+def load_many(stored: list[bytes]) -> list[np.ndarray]:
+    """The pixels of all files of each stored form, row under row."""
+    from cuboid.llm import webp_batch
+
+    files, times = [], []
+    for media in stored:
+        at = n = 0
+        while at < len(media):
+            size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
+            files.append(media[at : at + size])
+            at += size
+            n += 1
+        times.append(n)
+    images, at, out = webp_batch.read_images(files), 0, []
+    for n in times:
+        out.append(images[at] if n == 1 else np.concatenate(images[at : at + n]))
+        at += n
+    return out
 
 
 def load(media: bytes) -> np.ndarray:
-    """The pixels of all files of a stored form, row under row."""
-    images, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        images.append(read_image(media[at : at + size]))
-        at += size
-    return images[0] if len(images) == 1 else np.concatenate(images)
+    return load_many([media])[0]
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -614,18 +639,26 @@ def feature(pixels: np.ndarray) -> str:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+#: Bytes of payloads that are written and read together, one text at least.
+_TOGETHER = 2 << 20
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
     for batch in batches:
-        rows = []
-        for x in batch.column(1):
-            text = x.as_py() or b""
-            media = store(payload(text))
-            pixels = load(media)
-            back = pixels.tobytes()
-            rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        cols = list(zip(*rows)) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(size, (size[low - 1] if low else 0) + _TOGETHER, "right")))
+            part, rows = batch.slice(low, high - low), []
+            texts = [x.as_py() or b"" for x in part.column(1)]
+            stored = store_many([payload(t) for t in texts])
+            for text, media, pixels in zip(texts, stored, load_many(stored)):
+                back = pixels.tobytes()
+                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names)
+            low = high
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
