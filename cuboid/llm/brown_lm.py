@@ -1,10 +1,13 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 Counting: the words of all training texts, merged in each task before they are exchanged.
-Classes: the ``CLUSTERED`` most frequent words are dealt to ``CLASSES`` classes by exchange (each in
-turn moves to the class that raises the likelihood of the class bigrams most); other words of the
-head, which has at most ``HEAD`` words, have a class for each power of two of their count; the rest,
-unseen words included, is one class; the end of a text is one.
+Classes, of which a larger head has more: first the ``CLUSTERED`` most frequent words are dealt to them by
+exchange (each in turn moves to the class that raises the likelihood of the class bigrams most), with the
+others' counts beside them by powers of two of their frequency.  Then every word of the head, which has at
+most ``HEAD`` words, is exchanged: its neighbours are counted by their class over all training texts, and it
+moves to the class whose own neighbours raise the likelihood most.  These moves are judged side by side, each
+in the tasks that hold the word's counts, against the classes as they were.  The words beyond the head, unseen
+ones included, are one class; the end of a text is one.
 P(text) is the product of P(class | class before), smoothed towards the class's own frequency, and
 P(word | class).
 
@@ -32,10 +35,14 @@ from cuboid.llm import common
 
 FOLDS, HELD = 7, 2
 CLUSTERED, CLASSES, ROUNDS = 512, 32, 6
+#: Classes of a large head: a third of the root of its size, at most so many.
+MOST_CLASSES = 128
 HEAD, SMOOTHING = 200_000, 50.0
 #: The end token among the words, none of which has a space.
 END = b" "
 _BANDS, _FLUSH = 64, 500_000
+#: Tokens whose neighbours are counted together, and counts that are judged together.
+_CHUNK, _JUDGED = 1 << 20, 1 << 15
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -87,10 +94,19 @@ class Head:
         symbols[self.clustered : len(rows)] = self.clustered + np.log2(np.maximum(self.counts[self.clustered :], 1)).astype(int)
         symbols[len(rows) :] = self.rest, self.end
         self.symbols = symbols  # of a word's number; behind the head's words are one of the rest and the end
+        self.placed = False
         rest_tokens = self.n_tokens - self.n_ends - int(self.counts.sum())
         # One more for each word of the rest, and as many words again, and one, that no training text has.
         self.rest_size = rest_tokens + 2 * max(0, self.n_distinct - len(rows) - (self.n_ends > 0)) + 1
 
+    def assigned(self, classes: np.ndarray, n: int) -> Head:
+        """This head with its words' classes, of which there are ``n``, as their symbols."""
+        out = Head.__new__(Head)
+        out.__dict__ = {k: v for k, v in self.__dict__.items() if k != "_index"}
+        out.rest, out.end, out.placed = n, n + 1, True
+        out.symbols = np.append(classes, [n, n + 1])
+        return out
+
     def index(self) -> dict[bytes, int]:
         if not hasattr(self, "_index"):
             listed = self.words.split(b" ") if self.words else []
@@ -209,12 +225,108 @@ def exchange(table: np.ndarray, clustered: int, classes: int = CLASSES, rounds:
     return label
 
 
+def classes_of(words: int) -> int:
+    return min(MOST_CLASSES, max(CLASSES, round(words**0.5 / 3)))
+
+
+def neighbours(docs: DataFrame, head, label: np.ndarray) -> DataFrame:
+    """(key, n): how often a class stands before or behind a word of the head; merged in each task.
+
+    key: (word * 2 + (0 behind it, 1 before it)) * classes + class; ``label`` is the class of each symbol.
+    """
+    size = int(label.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, waiting, held = head.value, [], 0
+        words, classes = len(own.counts), label[own.symbols]
+
+        def merged() -> pa.RecordBatch:
+            word = np.concatenate([np.array([words + 1]), *waiting])
+            kind = classes[word]
+            known = np.flatnonzero(word[1:] < words) + 1  # an end stands behind each text, and before the first
+            behind, before = word[known] * 2 * size + kind[known + 1], (word[known] * 2 + 1) * size + kind[known - 1]
+            key, n = np.unique(np.concatenate([behind, before]), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+        for batch in batches:
+            for x in batch.column(0):
+                waiting.append(own.numbers(tokens(x.as_py())))
+                held += len(waiting[-1])
+                if held > _CHUNK:
+                    yield merged()
+                    held = 0
+        if waiting:
+            yield merged()
+
+    return training(docs).mapInArrow(run, "key long, n long")
+
+
+def judged(key: np.ndarray, n: np.ndarray, table: np.ndarray, now: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, best class of each) by what a move adds to the likelihood of the class bigrams.
+
+    key: sorted, as from ``neighbours``; table: bigrams of all classes, of which words can be in the first ``classes``;
+    now: each word's class.  x log x grows from x to x + n by about n (1 + log(x + n / 2)).
+    """
+    size = len(table)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    n, key = np.add.reduceat(n, first).astype(np.float32), key[first]
+    word, rest = np.divmod(key, 2 * size)
+    before, kind = np.divmod(rest, size)
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    # Counts of each class with the neighbour's class, on the side where it stands.
+    beside = np.where((before == 1)[:, None], table[kind, :classes], table[:classes, kind].T).astype(np.float32)
+    old = now[word]
+    own = np.flatnonzero(old < classes)
+    beside[own, old[own]] -= n[own]
+    gain = np.add.reduceat(n[:, None] * np.log(np.maximum(beside, 0) + n[:, None] / 2), starts, axis=0)
+    # Less what the class's own totals grow by.
+    words = word[starts]
+    for side, totals in ((0, table.sum(axis=1)), (1, table.sum(axis=0))):
+        more = np.add.reduceat(np.where(before == side, n, 0), starts)
+        total = np.tile(totals[:classes], (len(words), 1))
+        mine = np.flatnonzero(now[words] < classes)
+        total[mine, now[words[mine]]] -= more[mine]
+        gain -= more[:, None] * np.log(np.maximum(total, 0) + more[:, None] / 2 + 1e-9)
+    return words, gain.argmax(axis=1)
+
+
+def placed(docs: DataFrame, head: Head, held, label: np.ndarray, table: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word of the head, after each one's exchange against the classes of ``label``."""
+    now = label[head.symbols[: len(head.counts)]]
+    size = len(table)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            words, best = judged(key, n, table, now, classes)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int64())], ["word", "class"])
+
+        for batch in batches:
+            key, n = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key, n)))
+            if len(key) > _JUDGED:  # the last word may go on
+                cut = int(np.searchsorted(key, key[-1] // (2 * size) * 2 * size))
+                if cut:
+                    yield out(key[:cut], n[:cut])
+                    key, n = key[cut:], n[cut:]
+        if len(key):
+            yield out(key, n)
+
+    pairs = neighbours(docs, held, label).repartition(parts, F.expr(f"key div {2 * size}")).sortWithinPartitions("key")
+    found = pairs.mapInArrow(run, "word long, class long").toArrow()
+    out = np.where(now < classes, now, 0)
+    out[found["word"].to_numpy()] = found["class"].to_numpy()
+    return out
+
+
 class Model:
     """Logarithms (base 10) of transitions between classes and of words in their class."""
 
     def __init__(self, head: Head, table: np.ndarray, smoothing: float = SMOOTHING) -> None:
         self.head = head
-        label = exchange(table, head.clustered)
+        label = np.arange(len(table)) if head.placed else exchange(table, head.clustered, classes_of(len(head.counts)))
         size = int(label.max()) + 1
         n = np.zeros((size, size))
         np.add.at(n, (label[:, None], label[None, :]), table)
@@ -238,12 +350,23 @@ class Model:
         return float(self.base[numbers].sum()), float(score), len(numbers), np.flatnonzero(numbers == len(self.head.counts))
 
 
-def fit(docs: DataFrame, counts: DataFrame, clustered: int = CLUSTERED) -> Model:
-    head = head_of(counts)
-    held = docs.sparkSession.sparkContext.broadcast(head)
-    model = Model(head, bigrams(docs, held))
+def fit(docs: DataFrame, counts: DataFrame, every: bool = True) -> Model:
+    """every: exchange all words of the head, not only the most frequent ones."""
+    spark, head = docs.sparkSession, head_of(counts)
+    held = spark.sparkContext.broadcast(head)
+    table = bigrams(docs, held)
+    if every and len(head.counts) > head.clustered:
+        classes = min(classes_of(len(head.counts)), head.clustered)
+        label = exchange(table, head.clustered, classes)
+        size = int(label.max()) + 1
+        n = np.zeros((size, size))
+        np.add.at(n, (label[:, None], label[None, :]), table)
+        head = head.assigned(placed(docs, head, held, label, n, classes), classes)
+        held.unpersist()
+        held = spark.sparkContext.broadcast(head)
+        table = bigrams(docs, held)
     held.unpersist()
-    return model
+    return Model(head, table)
 
 
 def scored(docs: DataFrame) -> DataFrame:
