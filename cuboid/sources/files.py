@@ -51,7 +51,7 @@ class Store:
         try:
             value = json.loads(data.decode())
             crc = value.pop("crc", None)
-        except (ValueError, AttributeError) as wrong:
+        except (ValueError, AttributeError, TypeError) as wrong:
             raise TornFile(f"{name} is torn") from wrong
         if crc is not None and crc != _sealed(value)["crc"]:
             raise TornFile(f"{name} is torn")
