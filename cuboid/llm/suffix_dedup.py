@@ -7,7 +7,8 @@ smaller id.  The answer is exact; suffixes meet only where they can share such a
    anchor, so equal windows have equal anchors at the same place.  Around an anchor stands its
    context: the 30 bytes before and behind it, in which all windows with this anchor lie.  Contexts
    are merged in each task first: equal ones keep that of the smallest document, for the others the
-   context is a repeat, decided on the spot.  What is left goes to blocks by the anchor's hash.
+   context is a repeat, decided on the spot once their bytes are compared.  What is left goes to blocks
+   by the anchor's hash, each of which is a partition; their number grows with the input.
 2. Blocks.  Equal contexts are decided again, now among all.  Of the different contexts of an anchor,
    those go on that agree with another one in one of four strings of 41 bytes or more around it, as any
    two that share a window do.
@@ -19,7 +20,8 @@ A hot anchor (a line that a large share of all documents has) would gather in on
 a hash-chosen share of the documents shows to be frequent are therefore dealt by the hash of each whole
 window around them, merged in each task; this changes where windows meet, never whether they do.
 
-Hashes of 48 bits within an anchor's group stand for contexts; everything else compares bytes.
+Between tasks, contexts are equal if their own 64-bit hash and their anchor's (its block and 32 bits more)
+are; the text isn't there.  Everything else compares bytes.
 
 Cases: null and empty texts lose nothing; so do rows without doc_id, which nobody is compared with;
 rows that share a doc_id are one document to others and don't shorten each other; an empty table
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +50,8 @@ _SPAN = LENGTH - ANCHOR  # windows around an anchor, less one
 _AROUND = ((0, 41), (-10, 31), (-20, 21), (-30, 20))
 _STEP, _CHUNK, _BLOCK = 1 << 20, 8 << 20, 12 << 20
 #: Anchors that this many documents or more are expected to have are dealt by window; one in HOT_SHARE documents is asked.
-HOT, HOT_SHARE = 20_000, 16
+#: More documents are needed in a large table, so that at most some HOT_MOST anchors are frequent.
+HOT, HOT_SHARE, HOT_MOST = 20_000, 16, 200_000
 #: Bytes of contexts that one suffix array sorts at most, a single anchor's apart.
 _SORTED = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -140,7 +144,6 @@ def _windows(text: bytes, start: np.ndarray, length: np.ndarray) -> tuple[np.nda
 
 #: An occurrence: its group's hash, that of what must be equal, short hashes of strings around, document (a row of a table), place and length.
 _ROW = np.dtype([("group", "<u4"), ("same", "<u8"), *((f"around{j}", "<u2") for j in range(len(_AROUND))), ("doc", "<u4"), ("start", "<u4"), ("length", "u1")])
-_SAME = np.uint64((1 << 48) - 1)
 #: In ``length``, of a window that stands for itself.
 _WHOLE = 128
 _ALL = {"bucket": pa.int32(), "ids": pa.binary(), "keys": pa.binary(), "rows": pa.binary(), "doc_id": pa.int64(), "key": pa.int64(), "spans": pa.binary(), "group": pa.int64(), "start": pa.int64(), "length": pa.int32(), "starts": pa.binary(), "context": pa.binary()}
@@ -211,7 +214,7 @@ def _find(buckets: int, hot: np.ndarray):
         least: dict[bytes, int] = {}
         for doc_id, _, text in docs:
             least[text] = min(doc_id, least.get(text, doc_id))
-        out, parts, table = [], [], []
+        out, parts, table, kept_texts = [], [], [], []
         seen: set[tuple[int, int]] = set()
         for doc_id, key, text in docs:
             if (doc_id, key) in seen:
@@ -222,6 +225,7 @@ def _find(buckets: int, hot: np.ndarray):
                 continue
             doc = len(table)
             table.append((doc_id, key))
+            kept_texts.append(text)
             for group, start, length, same, around in anchors(text):
                 frequent = np.isin(group, hot) if len(hot) else np.zeros(len(group), bool)
                 kept = ~frequent
@@ -232,11 +236,15 @@ def _find(buckets: int, hot: np.ndarray):
         if parts:
             group, same, around, doc, start, length = (np.concatenate(c) for c in zip(*parts))
             parts.clear()
-            same &= _SAME
             ids, keys = (np.array(c, np.int64) for c in zip(*table))
-            least_of, _ = _least(same, ids[doc])
-            repeat = ids[doc] > least_of
             size = length & (_WHOLE - 1)
+            least_of, which = _least(group, same, ids[doc])
+            repeat = ids[doc] > least_of
+            if len(wrong := _unlike(kept_texts, doc, start, size, np.flatnonzero(repeat), which)):
+                for i in wrong.tolist():
+                    same[i] = xxhash.xxh64_intdigest(kept_texts[doc[i]][start[i] : start[i] + size[i]])
+                least_of, _ = _least(group, same, ids[doc])
+                repeat = ids[doc] > least_of
             decided = _spans(doc[repeat], start[repeat], (start + size)[repeat], ids, keys)
             out += [(x[0] % buckets, None, None, None, *x) for x in decided]
             keep = np.flatnonzero(~repeat)
@@ -272,16 +280,37 @@ def _find(buckets: int, hot: np.ndarray):
     return run
 
 
-def _least(same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest document among those that are equal, and the order that brings equal ones together."""
+def _least(group: np.ndarray, same: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest document among those that are equal in both hashes, and the row that it has there."""
     order = np.argsort(same, kind="stable")
-    value = same[order]
-    starts = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-    out = np.empty(len(same), np.int64)
-    if len(value):
-        least = np.minimum.reduceat(ids[order], starts)
-        out[order] = np.repeat(least, np.diff(np.append(starts, len(value))))
-    return out, order
+    twin = same[order[1:]] == same[order[:-1]]
+    if (twin & (group[order[1:]] != group[order[:-1]])).any():  # one hash isn't enough
+        order = np.lexsort((group, same))
+        twin = same[order[1:]] == same[order[:-1]]
+    out, which = np.empty(len(same), np.int64), np.empty(len(same), np.int64)
+    if len(same):
+        starts = np.flatnonzero(np.append(True, ~(twin & (group[order[1:]] == group[order[:-1]]))))
+        sizes = np.diff(np.append(starts, len(same)))
+        least = np.repeat(np.minimum.reduceat(ids[order], starts), sizes)
+        # The first row of the smallest document stands for its equals.
+        place = np.where(ids[order] == least, np.arange(len(order)), len(order))
+        out[order], which[order] = least, order[np.repeat(np.minimum.reduceat(place, starts), sizes)]
+    return out, which
+
+
+def _unlike(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Those of the rows whose bytes differ from the row that stands for them."""
+    first = np.cumsum([0, *map(len, texts)])
+    data = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts) + bytes(8), np.uint8), 8)
+    a, b = (first[doc[x]] + start[x] for x in (rows, which[rows]))
+    good = size[rows] == size[which[rows]]
+    for k in range(0, int(size.max(initial=0)), 8):
+        open_ = np.flatnonzero(good & (size[rows] > k))
+        if not len(open_):
+            break
+        at = np.minimum(k, size[rows[open_]] - 8)  # contexts have more than 8 bytes: the last word overlaps
+        good[open_] = (data[a[open_] + at] == data[b[open_] + at]).all(axis=1)
+    return rows[~good]
 
 
 _SECOND = "doc_id key spans bucket group length starts"
@@ -315,7 +344,7 @@ def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
     if not len(rows):
         return
     doc_id = ids[rows["doc"]]
-    least, _ = _least(rows["same"], doc_id)
+    least, _ = _least(rows["group"], rows["same"], doc_id)
     size = (rows["length"] & (_WHOLE - 1)).astype(np.int64)
     repeat = doc_id > least
     start = rows["start"].astype(np.int64)
@@ -323,7 +352,11 @@ def _decide(bucket: int, held: pa.Table) -> Iterator[pa.RecordBatch]:
         yield _asked([pa.array(c, _ALL[n]) for c, n in zip(zip(*spans), ("doc_id", "key", "spans"))], bucket)
     # Different contexts, each once; the document that has one first may have it at several places.
     own = np.flatnonzero(~repeat & (rows["length"] < _WHOLE))
-    _, first, which = np.unique(rows["same"][own], return_index=True, return_inverse=True)
+    if len(own):
+        _, which = _least(rows["group"][own], rows["same"][own], np.zeros(len(own), np.int64))
+        first, which = np.unique(which, return_inverse=True)
+    else:
+        first, which = own, own
     rest = own[first]
     need = np.zeros(len(rest), bool)
     for j in range(len(_AROUND)):
@@ -495,7 +528,7 @@ _BINS = 1 << 19
 
 
 def _frequent(rows: DataFrame, hot: int, share: int) -> np.ndarray:
-    """Anchors that ``hot`` documents or more are expected to have, from one in ``share`` documents; few, as each document has few per byte."""
+    """Anchors that ``hot`` documents or more are expected to have, from one in ``share`` documents; at most some HOT_MOST."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -512,7 +545,8 @@ def _frequent(rows: DataFrame, hot: int, share: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(n, pa.int64())], ["anchor", "n"])
 
     some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id"), F.lit(share)) == 0)
-    total = max(1, some.count())
+    total, size = some.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    total, hot = max(1, total), max(hot, (size or 0) * share // 16 // HOT_MOST)  # a text has an anchor for each 16 bytes or so
     if total * share < hot:
         return np.zeros(0, np.uint64)
     found = some.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= hot // share).select("anchor").toArrow()
@@ -527,12 +561,12 @@ def removed_spans(rows: DataFrame, hot: int = HOT, share: int = HOT_SHARE) -> Da
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // _BLOCK))
     found = long_.select("doc_id", "key", "text").mapInArrow(_find(buckets, _frequent(rows, hot, share)), _schema(_FIRST))
-    blocks = found.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
+    blocks = found.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     # Written once: both kinds of rows are read from it.
     second = common.written(blocks.mapInArrow(_by_bucket(_decide), _schema(_SECOND)), "blocks")
     asked = second.where("spans IS NULL").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "group", "length", "starts")).alias("asked"))
     fetched = _joined(long_, common.written(asked, "asked")).mapInArrow(_contexts, _schema(_THIRD))
-    gathered = fetched.repartition(min(buckets, 8 * parts), "bucket").sortWithinPartitions("bucket")
+    gathered = fetched.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     third = gathered.mapInArrow(_by_bucket(_compare), _schema("doc_id key spans"))
     return second.where("spans IS NOT NULL").select("doc_id", "key", "spans").union(third)
 

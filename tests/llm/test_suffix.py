@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,3 +98,29 @@ def test_united():
 
     a, b = suffix_dedup.united(np.array([5, 0, 3, 20]), np.array([9, 2, 5, 30]))
     assert list(zip(a.tolist(), b.tolist())) == [(0, 2), (3, 9), (20, 30)]
+
+
+def test_equal_hashes_of_different_contexts(spark, monkeypatch):
+    """With four bits of a context's hash, a task still removes what is repeated and no more."""
+    rng = random.Random(12)
+    shared = [bytes(rng.randrange(97, 100) for _ in range(70)) for _ in range(3)]
+    texts = [b" ".join(rng.choice([*shared, bytes(rng.randrange(97, 100) for _ in range(120))]) for _ in range(4)) for _ in range(60)]
+    rows = [(i, t.decode()) for i, t in enumerate(texts)]
+    whole = suffix_dedup.anchors
+
+    def short(text):
+        for keys, start, length, context, around in whole(text):
+            yield keys, start, length, context & np.uint64(15), around
+
+    monkeypatch.setattr(suffix_dedup, "anchors", short)
+    listed = [(i, i, t) for i, t in enumerate(texts)]
+    data = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*listed), (pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "key", "text"])
+    found = [np.frombuffer(x["spans"], "<u4").reshape(-1, 2).tolist() + [x["doc_id"]] for b in suffix_dedup._find(4, np.zeros(0, np.uint64))([data]) for x in b.to_pylist() if x["spans"]]
+    seen = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 49):
+            seen.setdefault(t[at : at + 50], i)
+    for *spans, i in found:
+        for a, b in spans:
+            assert all(seen[texts[i][at : at + 50]] < i for at in range(a, b - 49))
+    assert found
