@@ -1,10 +1,11 @@
 """The pipeline: each stage against a plain version over its own input."""
 
+import os
 import zlib
 
 import pytest
 
-from cuboid.llm import decontam, langid, pii, queries, simhash
+from cuboid.llm import decontam, langid, pii, queries
 
 
 @pytest.fixture(scope="module")
@@ -34,21 +35,24 @@ def test_language(stages):
 
 
 def test_near_duplicates(stages):
+    """The stage's rule: five-word shingles of similarity 0.8 or more link two texts, by all pairs."""
     before, after = texts(stages[1]), texts(stages[2])
-    fps = {i: simhash.fingerprint((t or "").encode()) for i, t in before.items()}
-    root = {i: i for i in fps}
+    sets, root = {}, {i: i for i in before}
+    for i, t in before.items():
+        listed = (t or "").encode().lower().split()
+        sets[i] = {tuple(listed[k : k + 5]) for k in range(max(1, len(listed) - 4))} if listed else set()
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in sorted(fps):
-        for j in sorted(fps):
-            if j < i and bin(fps[i] ^ fps[j]).count("1") <= 4:
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    assert set(after) == {i for i in fps if find(i) == i}
+    assert set(after) == {i for i in sets if find(i) == i} and len(after) < len(before)
 
 
 def test_decontamination(spark, stages):
@@ -99,3 +103,35 @@ def test_held_out_accuracy(spark):
     got = langid.identify(docs, langid.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+
+
+def test_cases_of_a_whole_run(spark, tmp_path):
+    """Repeated and null rows, a very long text, columns with names of the operators' own; and no rows at all."""
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    bench = spark.read.parquet(f"{source}/benchmark.parquet")
+    some = docs.limit(60)
+    text = max((r["text"] for r in some.collect() if r["text"]), key=len)
+    rows = [(9100, (text + " ") * 40, "en", "s", 1), (9101, None, None, None, None), (9102, "x", None, "s", 1), (9103, "", "en", "s", 0)]
+    clash = some.unionByName(spark.createDataFrame(rows, docs.schema)).unionByName(some.limit(5))
+    clash = clash.selectExpr("*", "1 AS component_id", "'a' AS `key`", "2 AS copy", "3 AS n", "'b' AS spans", "4 AS score")
+    for name, frame in (("full", clash), ("empty", clash.limit(0))):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        kept = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path / name))
+            assert kept.columns == frame.columns
+        shared = spark.conf.get("spark.checkpoint.dir")
+        tables = set(os.listdir(shared))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        stages = [x for x, _ in corpus_pipeline.STAGES]
+        assert {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - tables} & set(stages) == {"personal_data"}
+        assert {r["doc_id"] for r in got} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+        assert (len(got) > 0) == (name == "full")
+        pieces = {}
+        for r in got:
+            pieces[r["doc_id"]] = pieces.get(r["doc_id"], 0) + r["length"]
+        assert all(pieces[r["doc_id"]] == r["doc_tokens"] for r in got)
