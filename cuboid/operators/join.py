@@ -80,12 +80,23 @@ def _cell(x: Column, level: Column, width: float) -> Column:
     return F.floor(x.cast("double") / (F.lit(width) * F.pow(F.lit(_STEP), level))).cast("long")
 
 
-def _dealt(side: DataFrame, axes: int, widths: list[float], top: int) -> DataFrame:
-    """Each box on its own level and on all larger ones, in each cell that it touches."""
-    out = side.withColumn("__own", _level(axes, widths, top)).withColumn("__level", F.explode(F.sequence(F.col("__own"), F.lit(top))))
+def _dealt(side: DataFrame, axes: int, widths: list[float], top: int, left: bool) -> DataFrame:
+    """Each box in the cells that it touches, on its own level and on larger ones.
+
+    A pair is on the level of its larger box, of the left one if both are alike: kind 0.  There boxes of the
+    left side are on their own level only, those of the right side on their own and all larger ones.  Where the
+    right box is larger, kind 1, it is the other way round.  So no cell holds boxes that can't be a pair on its level.
+    """
+    own = _level(axes, widths, top)
+    larger = F.sequence(F.col("__own") + 1, F.lit(top))
+    larger = F.when(F.col("__own") < top, larger).otherwise(F.array().cast("array<int>"))
+    of = lambda levels, kind: F.transform(levels, lambda v: F.struct(v.alias("level"), F.lit(kind).alias("kind")))
+    here = F.array(F.col("__own"))
+    places = F.concat(of(here, 0), of(larger, 1)) if left else F.concat(of(F.concat(here, larger), 0), of(here, 1))
+    out = side.withColumn("__own", own).withColumn("__at", F.explode(places)).withColumn("__level", F.col("__at.level")).withColumn("__kind", F.col("__at.kind"))
     for i in range(axes):
         out = out.withColumn(f"__c{i}", F.explode(F.sequence(_cell(F.col(f"min_{i}"), F.col("__level"), widths[i]), _cell(F.col(f"max_{i}"), F.col("__level"), widths[i]))))
-    return out
+    return out.drop("__at", "__own")
 
 
 def _broadcast(left: DataFrame, right: DataFrame, small: int) -> str | None:
@@ -128,14 +139,13 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", h
     widths = _widths(one, two, axes)
     most = max((m / w for side in (one, two) for m, w in zip(side.most, widths)), default=1.0)
     top = min(_LEVELS, max(0, math.ceil(math.log(max(most, 1.0), _STEP))))
-    dealt, dealt_right = _dealt(one.df, axes, widths, top), r_(_dealt(two.df, axes, widths, top))
-    cells = ["__level", *(f"__c{i}" for i in range(axes))]
+    dealt, dealt_right = _dealt(one.df, axes, widths, top, True), r_(_dealt(two.df, axes, widths, top, False))
+    cells = ["__level", "__kind", *(f"__c{i}" for i in range(axes))]
     meets = reduce(and_, (F.col(c) == F.col(f"r_{c}") for c in cells))
-    on_level = F.col("__level") == F.greatest("__own", "r___own")
     corner = reduce(and_, (_cell(F.greatest(a.lo[i], b.lo[i]), F.col("__level"), widths[i]) == F.col(f"__c{i}") for i in range(axes)))
     if how == "inner":
-        return dealt.join(dealt_right, meets & on_level & condition & corner).drop("__own", "r___own", *cells, *(f"r_{c}" for c in cells))
-    met = dealt.join(dealt_right, meets & on_level & condition, "left_semi").select(*names).distinct()
+        return dealt.join(dealt_right, meets & condition & corner).drop(*cells, *(f"r_{c}" for c in cells))
+    met = dealt.join(dealt_right, meets & condition, "left_semi").select(*names).distinct()
     same = reduce(and_, (left[n].eqNullSafe(met[n]) for n in names))
     return left.join(met, same, how)
 
