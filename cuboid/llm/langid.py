@@ -8,8 +8,8 @@ scored in batches: their presence matrix times the landmarks', then times the fi
 n-grams run over the whole text, folded to 64 symbols: one for what isn't a letter (runs count once)
 and 63 for lower-case letters, a-z apart and all others by their code point modulo 37.
 
-The model is fitted on ``SAMPLE`` labelled rows at most, dealt evenly over at most ``CLASSES``
-languages, the most frequent ones, and chosen by a hash of the id; everything else sees all rows.
+The model is fitted on ``SAMPLE`` labelled rows at most, dealt evenly over all languages, or on ``EACH`` of
+every language where these are more, chosen by a hash of the id; everything else sees all rows.
 
 The scores of a text sum to 1 over the languages, so they can't tell that it is in none.  ``known`` goes by
 the share of the text's trigrams that the sampled rows of its language have.  The least share is
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cuboid.llm import common
 
 FOLDS = 5
-SAMPLE, CLASSES, LANDMARKS, RIDGE = 2400, 100, 192, 1e-3
+SAMPLE, EACH, LANDMARKS, RIDGE = 2400, 8, 192, 1e-3
 #: ``known`` rejects texts whose share of learned trigrams is below SLACK times the share that all but LOST of left-out rows have.
 SLACK, LOST = 0.8, 0.005
 _BITS, _N = 6, (1 << 6) + (1 << 12) + (1 << 18)
@@ -80,7 +80,7 @@ class Model:
         for lang in self.langs:
             own = np.array([x == lang for x in langs])
             rank[own] = np.arange(own.sum())
-        chosen = np.argsort(rank, kind="stable")[:landmarks]
+        chosen = np.argsort(rank, kind="stable")[: max(landmarks, len(self.langs))]  # one of each language at least
         self.columns = np.unique(np.concatenate([sets[i] for i in chosen])) if len(chosen) else np.zeros(0, np.int64)
         sizes = np.sqrt([max(1, len(x)) for x in sets])
         dense = np.zeros((len(sets), len(self.columns)), np.float32)
@@ -124,22 +124,21 @@ class Model:
         seen = np.zeros(_N, bool)
         for low in range(0, len(texts), _BATCH):
             part = texts.slice(low, _BATCH).to_pylist()
-            present, sizes, shares = np.zeros((len(part), len(self.columns)), np.float32), np.zeros(len(part)), np.zeros((len(part), len(self.langs)))
+            present, sizes, threes = np.zeros((len(part), len(self.columns)), np.float32), np.zeros(len(part)), []
             for i, text in enumerate(part):
-                codes = grams(text) if text else ()
+                codes = grams(text) if text else np.zeros(0, np.int32)
+                threes.append(codes[codes >= _THREE])
                 if len(codes):
                     seen[codes] = True
                     sizes[i] = np.count_nonzero(seen)
                     present[i] = seen[self.columns]
                     seen[codes] = False
-                    codes = codes[codes >= _THREE]
-                    shares[i] = [_share(x, codes) for x in self.learned]
             if not self.langs:
                 out += [("und", 0.0, False)] * len(part)
                 continue
             scores = (present @ self.landmarks / np.sqrt(np.maximum(sizes, 1))[:, None].astype(np.float32)) @ self.weights + self.mean
             best = scores.argmax(axis=1)
-            out += [(self.langs[b], float(min(1.0, max(0.0, row[b]))), bool(share[b] >= self.least[b])) if size else ("und", 0.0, False) for b, row, size, share in zip(best, scores, sizes, shares)]
+            out += [(self.langs[b], float(min(1.0, max(0.0, row[b]))), _share(self.learned[b], codes) >= self.least[b]) if size else ("und", 0.0, False) for b, row, size, codes in zip(best, scores, sizes, threes)]
         return out
 
 
@@ -152,10 +151,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the text and lang of rows that aren't held out."""
     rows = common.texts(docs, "lang").where("lang IS NOT NULL AND text IS NOT NULL").where(common.remainder(F.col("doc_id"), FOLDS) != 0)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return Model([], [])
-    each = max(1, sample // len(counts))
+    each = max(EACH, sample // len(counts))
     spark = docs.sparkSession
     # Twice the rows that are needed, by a hash, so that no language's rows must be sorted as a whole.
     shares = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * each / r["count"])) for r in counts], "lang string, share double")
