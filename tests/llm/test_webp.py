@@ -1,6 +1,7 @@
 """Many files at once against the plain reader, files of every kind, and what stored texts make use of."""
 
 import base64
+import math
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -93,3 +94,16 @@ def test_what_stored_texts_make_use_of():
     stored = webp.store_many(payloads)
     assert b"".join(stored) == b"".join(files) and [x.tobytes() for x in webp.load_many(stored)] == payloads
     assert sum(map(len, stored)) < 0.7 * sum(map(len, payloads))
+
+
+@pytest.mark.parametrize("text", ["", "a", "some words " * 300, "é" * 70])
+def test_feature_is_the_plain_one(text):
+    data = webp.payload(text.encode())
+    channels = [list(data[k::4]) for k in range(4)]
+    mean = [sum(c) / len(c) for c in channels]
+    dev = [(sum((x - m) ** 2 for x in c) / len(c)) ** 0.5 for c, m in zip(channels, mean)]
+    shares = [data.count(bytes([b])) / len(data) for b in set(data)]
+    entropy = sum(s * math.log2(1 / s) for s in shares)
+    height, numbers = webp.feature(webp.load(webp.store(data))).split(":")
+    assert int(height) == len(data) // 64
+    assert [float(x) for x in numbers.split(",")] == pytest.approx([*mean, *dev, entropy], abs=6e-4)
