@@ -1,8 +1,9 @@
 """License scans with DataFrame functions only: ordered signature rules behind a keyword prefilter.
 
-A text becomes its lower-case words with single spaces.  The keywords of all rules decide whether any
-can match at all; in the texts that pass, each rule's own keyword decides whether its expression
-runs.  Detections carry a priority; one that lies inside a detection of higher priority, or inside a
+Rules are hand-written (here and in ``license_rules``); names of licenses come in three forms of a mention.
+A text becomes its lower-case words with single spaces.  From each rule's wordings follow a few words of
+which every match has one; those of all rules, looked up in the text's words, decide whether any rule can
+match at all.  In the texts that pass, a rule's own words and then its keyword decide whether its expression runs.  Detections carry a priority; one that lies inside a detection of higher priority, or inside a
 longer one of its own, is suppressed.  Everything is a projection over one scan: no exchange, and each row by itself.
 
 Cases: null and empty texts have no words and no labels; detections of one interval go by priority,
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm import common
+from cuboid.llm.license_rules import covering, signatures
 
 #: Base phrases, always reported.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -103,7 +105,7 @@ _TEXTS = (
     ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license", 5),
     ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license", 5),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 5),
-    ("boost", "accompanying file", "accompanying file license 1 0 txt or copy at", 5),
+    ("bsl-1.0", "accompanying file", "accompanying file license 1 0 txt or copy at", 5),
     ("zlib", "altered source", "altered source versions must be plainly marked as such", 5),
     ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in)?to the public domain", 3),
     ("all-rights-reserved", "rights reserved", "all rights reserved", 1),
@@ -114,13 +116,17 @@ _TEXTS = (
 )
 #: (label, keyword, expression, priority), in the order of their priority.
 RULES = sorted(
-    [(label, word, form.format(name), p) for label, word, name in _NAMES for form, p in _FORMS] + [*_TEXTS],
+    [(label, word, form.format(name), p) for label, word, name in _NAMES for form, p in _FORMS] + [*_TEXTS, *signatures()],
     key=lambda r: -r[3],
 )
 TOP = max(r[3] for r in RULES)
-_WORDS = {r[1] for r in RULES} | {f" {phrase} " for phrase, _ in BASE}
-#: A text without any of these has no detection: the keywords of all rules and the base phrases, but those that hold another one.
-PREFILTER = tuple(sorted(w for w in _WORDS if not any(x != w and x in w for x in _WORDS)))
+#: Words of which every match of a rule's expression has one whole, by expression; none for those that leave too much open.
+_COVER = {pattern: covering(pattern) for _, _, pattern, _ in RULES}
+#: Of the base phrases one word each, too.
+TRIGGERS = tuple(sorted({w for words in _COVER.values() for w in words or ()} | {phrase.split()[0] for phrase, _ in BASE}))
+_UNCOVERED = tuple(sorted({word for _, word, pattern, _ in RULES if _COVER[pattern] is None}))
+#: A text without any of these has no detection: whole words, and the keywords of rules that no words cover.
+PREFILTER = tuple(f" {w} " for w in TRIGGERS) + _UNCOVERED
 
 
 def _words_in(piece: Column) -> Column:
@@ -141,10 +147,22 @@ def _base(doubled: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def _detections(line: Column) -> Column:
-    """(start, -end, -priority, label) of every match of the rules whose keyword the text has."""
-    rules = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(b).alias("word"), F.lit(f"(?<= )(?:{c})(?= )").alias("pattern"), F.lit(p).alias("priority")) for a, b, c, p in RULES))
-    due = F.filter(rules, lambda r: F.contains(line, r["word"]))
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, though it stands in the body of other functions."""
+    return F.transform(F.array(value), fn)[0]
+
+
+def _detections(line: Column, present: Column) -> Column:
+    """(start, -end, -priority, label) of every match of the rules that have one of their words in ``present``, and their keyword in the text."""
+    by_word: dict[tuple, list[Column]] = {}
+    for label, word, expression, priority in RULES:
+        rule = F.struct(F.lit(label).alias("label"), F.lit(f"(?<= )(?:{expression})(?= )").alias("pattern"), F.lit(priority).alias("priority"))
+        by_word.setdefault((word, _COVER[expression] or ()), []).append(rule)
+    # Each keyword is looked for once, however many rules have it.
+    none = F.array().cast("array<string>")
+    groups = F.array(*(F.struct(F.lit(word).alias("word"), (F.array(*map(F.lit, cover)) if cover else none).alias("cover"), F.array(*rules).alias("rules")) for (word, cover), rules in by_word.items()))
+    near = F.filter(groups, lambda g: ((F.size(g["cover"]) == 0) | F.arrays_overlap(g["cover"], present)) & F.contains(line, g["word"]))
+    due = F.flatten(F.transform(near, lambda g: g["rules"]))
 
     def places(r: Column) -> Column:
         hits = F.regexp_extract_all(line, r["pattern"], F.lit(0))
@@ -190,15 +208,20 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: words, places of the base phrases, labels and a score (share of the highest priority reached)."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     words = common.texts(docs).select("doc_id", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SEPARATORS, " ")).alias("words"))
-    low = F.concat(F.lit(" "), F.lower("words"), F.lit(" "))
-    gate = None
-    for word in PREFILTER:
-        gate = F.contains(low, F.lit(word)) if gate is None else gate | F.contains(low, F.lit(word))
+    # Those of the triggers that the text has; lower-case by more than A-Z, so at least as many.
+    present = F.array_intersect(F.split(F.lower("words"), " ", -1), F.array(*map(F.lit, TRIGGERS)))
     n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
-    gated = words.select("doc_id", n_words.cast("long").alias("n_words"), F.when(gate, F.translate("words", upper, lower)).alias("line"))
+    listed = words.select("doc_id", n_words.cast("long").alias("n_words"), "words", present.alias("present"))
+    low = F.concat(F.lit(" "), F.lower("words"), F.lit(" "))
+    gate = F.size("present") > 0
+    for word in _UNCOVERED:
+        gate = gate | F.contains(low, F.lit(word))
+    gated = listed.select("doc_id", "n_words", "present", F.when(gate, F.translate("words", upper, lower)).alias("line"))
     doubled = F.concat(F.lit("  "), F.replace("line", F.lit(" "), F.lit("  ")), F.lit("  "))
     single = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
-    found = gated.select("doc_id", "n_words", F.when(F.col("line").isNotNull(), _base(doubled)).alias("base"), F.when(F.col("line").isNotNull(), _kept(_detections(single))).alias("more"))
+    both = F.struct(single.alias("line"), F.col("present").alias("present"))
+    more = _let(both, lambda x: _kept(_detections(x["line"], x["present"])))
+    found = gated.select("doc_id", "n_words", F.when(F.col("line").isNotNull(), _let(doubled, _base)).alias("base"), F.when(F.col("line").isNotNull(), more).alias("more"))
     none = F.array().cast("array<string>")
     base_labels = F.array_sort(F.coalesce(F.transform("base", lambda x: x["label"]), none))
     labels = F.array_sort(F.array_union(base_labels, F.coalesce("more.labels", none)))
