@@ -2,16 +2,21 @@
 
 Weights of an item are divided by the least score that a passage can have which holds the wanted
 share of its five-word shingles; the threshold of every item is then 1 and loses none of them.
-Block-max WAND: for each block of items and each term the index has the largest weight; the sum of
-these over a passage's terms bounds the scores of the whole block, and only blocks that reach the
-threshold are scored.  What is retrieved is verified by the share of the item's shingles in the
-passage, and by nothing else; the overlap by words with its question and its answer is reported.
+Block-max WAND, for many passages side by side: the terms of a passage are ordered by the largest weight
+that any item has for them.  Those before the pivot, where the sum of these first reaches the threshold,
+can't lift an item to it by themselves, so only the posting lists from the pivot on are opened; a passage
+whose sum doesn't reach it opens none.  What these lists reach are blocks of items, whose largest weights by
+term bound all their items' scores: first with the pivot's sum for the terms before it, then with what the
+block has of them; only blocks that still reach the threshold are scored.  What is retrieved is verified
+by the share of the item's shingles in the passage, and by nothing else; the overlap by words with its
+question and its answer is reported (of an entry of a long item: of the part of each that is in it).
 
 Passages are windows of twice the longest entry, each half a window further, so that every entry that
 stands in a text stands whole in a window.  Then the whole text is one more passage, for entries whose
 parts are moved further apart, by any insertion.  Items longer than ``LONGEST`` words are indexed in
-entries of at most that many shingles, each shingle in one, so one of them has the share that the item has.  The items go to the executors in parts of at most ``PART_BYTES``; a
-larger benchmark means more passes.  No exchange: each row is decided by itself.
+entries of at most that many shingles, each shingle in one, so one of them has the share that the item has.
+The items go to the executors in parts of at most ``PART_BYTES``, one part for each pass over the texts, so a
+larger benchmark means more passes and no larger tasks.  No exchange: each row is decided by itself.
 
 Cases: null and empty texts and items match nothing; repeated rows are decided each; ties are all
 returned; an empty benchmark flags nothing; other columns are kept by ``uncontaminated`` as they are.
@@ -33,6 +38,8 @@ LONGEST, BLOCK_ITEMS, PART_BYTES = 128, 16, 32 << 20
 K1, B = 1.2, 0.75
 _LETTERS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 64 < c < 91 else c for c in range(256))
 _WINDOWS = 256
+#: Sums of (window, block) pairs that are kept densely; beyond, only those that a list reaches.
+_DENSE = 1 << 18
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,9 +101,10 @@ class Index:
             size = -(-shingles // pieces) if pieces else 0
             for at in range(0, shingles if listed else 0, size or 1):
                 part = listed[at : at + size + SHINGLE - 1]
-                asked = min(max(cut - at, 0), len(part)) if pieces == 1 else len(part) // 2
+                asked = min(max(cut - at, 0), len(part))
                 self.entries.append((item, np.array([vocabulary.setdefault(w, len(vocabulary)) for w in part]), asked))
         self.vocabulary = vocabulary
+        self.top = np.zeros(0)
         self.longest = max((len(t) for _, t, _ in self.entries), default=1)
         self._weigh()
 
@@ -122,6 +130,15 @@ class Index:
         self.rows = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.cols = np.concatenate(cols) if cols else np.zeros(0, np.int64)
         self.weights = np.concatenate(weights) if weights else np.zeros(0)
+        # Terms are numbered by their largest weight, so that sorted terms of a passage are in the pivot's order.
+        top = np.zeros(size)
+        np.maximum.at(top, self.rows, self.weights)
+        inorder = np.argsort(top, kind="stable")
+        number = np.empty(size, np.int64)
+        number[inorder] = np.arange(size)
+        self.top, self.rows = top[inorder], number[self.rows]
+        self.entries = [(item, number[terms], asked) for item, terms, asked in self.entries]
+        self.vocabulary = {w: int(number[i]) for w, i in self.vocabulary.items()}
         order = np.lexsort((self.cols, self.rows))
         self.rows, self.cols, self.weights = self.rows[order], self.cols[order], self.weights[order]
         # Block maxima by term, as postings of blocks.
@@ -132,13 +149,46 @@ class Index:
         self.term_first = np.searchsorted(self.rows[starts], np.arange(size + 1))
         self.group_key, self.group_start = key[starts], np.append(starts, len(key))
 
-    def bounds(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """(window, block) upper bounds of the scores; each (window, term) once."""
+    def candidates(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """(window, block) pairs whose bound reaches the threshold; each (window, term) comes once, in their order."""
+        upto = np.cumsum(self.top[term])
+        first = np.searchsorted(window, np.arange(n + 1))
+        upto -= np.append(0.0, upto)[first[:-1]][window]
+        pivot = upto >= 1 - 1e-9  # from here on in each window, as the sums rise
+        if not pivot.any():
+            return np.zeros((0, 2), np.int64)
+        # What the terms before the pivot can add at most: the sum at the last of them.
+        light, last = np.zeros(n), np.flatnonzero(~pivot & np.append(pivot[1:] | (window[1:] != window[:-1]), True))
+        light[window[last]] = upto[last]
+        at, size = self._postings(term[pivot])
+        key = np.repeat(window[pivot], size) * self.n_blocks + self.block_of[at]
+        if n * self.n_blocks <= _DENSE:
+            sums = np.bincount(key, self.block_max[at], minlength=n * self.n_blocks)
+            key = np.flatnonzero(sums.reshape(n, -1) + light[:, None] >= 1 - 1e-9)
+            bound = sums[key]
+        else:
+            key, pair = np.unique(key, return_inverse=True)
+            bound = np.bincount(pair, self.block_max[at], minlength=len(key))
+        own, block = np.divmod(key, max(1, self.n_blocks))
+        near = bound + light[own] >= 1 - 1e-9
+        own, block, bound = own[near], block[near], bound[near]
+        # The terms before the pivot, looked up in the blocks that are left.
+        some = np.flatnonzero(~pivot)
+        low, high = np.searchsorted(window[some], own), np.searchsorted(window[some], own + 1)
+        which = np.repeat(np.arange(len(own)), high - low)
+        terms = term[some][np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(which))]
+        wanted = terms * self.n_blocks + block[which]
+        g = np.minimum(np.searchsorted(self.group_key, wanted), max(0, len(self.group_key) - 1))
+        met = self.group_key[g] == wanted if len(self.group_key) else np.zeros(len(wanted), bool)
+        bound += np.bincount(which[met], self.block_max[g[met]], minlength=len(own))
+        good = bound >= 1 - 1e-9
+        return np.column_stack([own[good], block[good]])
+
+    def _postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms' block postings, and how many each has."""
         first, last = self.term_first[term], self.term_first[term + 1]
         size = last - first
-        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        key = np.repeat(window, size) * self.n_blocks + self.block_of[at]
-        return np.bincount(key, self.block_max[at], minlength=n * self.n_blocks).reshape(n, self.n_blocks)
+        return np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum())), size
 
     def scores(self, pairs: np.ndarray, window: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Scores of the entries of each (window, block) pair, a row of a block for each; ``window`` is sorted."""
@@ -177,7 +227,7 @@ class Index:
             terms = np.concatenate([ids[at][own < high], ids[at][own > low]])
             key = np.unique(window * size + terms)
             window, terms = np.divmod(key, size)
-            pairs = np.argwhere(self.bounds(window, terms, high - low) >= 1 - 1e-9)
+            pairs = self.candidates(window, terms, high - low)
             if not len(pairs):
                 continue
             scores = self.scores(pairs, window, terms)
@@ -196,7 +246,7 @@ class Index:
         """Adds the items that no window holds, but the text as a whole."""
         terms = np.unique(ids[ids >= 0])
         window = np.zeros(len(terms), np.int64)
-        pairs = np.argwhere(self.bounds(window, terms, 1) >= 1 - 1e-9)
+        pairs = self.candidates(window, terms, 1)
         if not len(pairs):
             return
         whole, here = Passage(ids), {}
@@ -229,16 +279,22 @@ class Index:
         return item, share, question, answer, int(places[hits].min())
 
 
-def indexes(spark: SparkSession, benchmark: DataFrame) -> list:
-    """The index in broadcast parts, each of a bounded size; its number grows with the benchmark."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = -(-total // PART_BYTES)
-    out = []
-    for i in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Index([tuple(r) for r in rows])))
-    return out
+class indexes:  # noqa: N801
+    """The index in broadcast parts, each of a bounded size and made when it is asked for; their number grows with the benchmark."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame) -> None:
+        self.spark = spark
+        self.items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+        total = self.items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+        self.parts = -(-total // PART_BYTES)
+
+    def __len__(self) -> int:
+        return self.parts
+
+    def __iter__(self) -> Iterator:
+        for i in range(self.parts):
+            rows = self.items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(self.parts)) == i).orderBy("item_id", "text").collect()
+            yield self.spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
 
 
 SCHEMA = "doc_id long, item_id long, score double, shingle_share double, question_overlap double, answer_overlap double, first_word long"
@@ -246,30 +302,41 @@ SCHEMA = "doc_id long, item_id long, score double, shingle_share double, questio
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and each item that it holds; clean documents have none."""
-    held = indexes(docs.sparkSession, benchmark)
+    types = [pa.int64()] * 2 + [pa.float64()] * 4 + [pa.int64()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def scan(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(doc_id.as_py(), *hit) for doc_id, text in zip(batch.column(0), batch.column(1)) if (t := text.as_py()) for hit in held.value.search(t)]
+                cols = list(zip(*rows)) if rows else [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(doc_id.as_py(), *hit) for doc_id, text in zip(batch.column(0), batch.column(1)) if (t := text.as_py()) for part in held for hit in part.value.search(t)]
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.int64()] * 2 + [pa.float64()] * 4 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in SCHEMA.split(", ")])
+        return run
 
-    return common.texts(docs).mapInArrow(run, SCHEMA)
+    out = None
+    for held in indexes(docs.sparkSession, benchmark):
+        found = common.texts(docs).mapInArrow(scan(held), SCHEMA)
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns as they are."""
+    """The rows of ``docs`` that hold no item, with their columns as they are; what one part of the index leaves is written before the next."""
     common.bounded(docs.sparkSession)
-    held = indexes(docs.sparkSession, benchmark)
-    at = docs.columns.index("text")
+    at, schema = docs.columns.index("text"), docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [not any(part.value.search(x.as_py() or "") for part in held) for x in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def keep(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not held.value.search(x.as_py() or "") for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(common.releasing(run), docs.schema)
+        return run
+
+    out = docs
+    for i, held in enumerate(indexes(docs.sparkSession, benchmark)):
+        out = (common.written(out, "uncontaminated") if i else out).mapInArrow(common.releasing(keep(held)), schema)
+    return out
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
