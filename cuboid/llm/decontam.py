@@ -40,6 +40,8 @@ _LETTERS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 els
 _WINDOWS = 256
 #: Sums of (window, block) pairs that are kept densely; beyond, only those that a list reaches.
 _DENSE = 1 << 18
+#: (term, block) pairs that are looked up directly; in a larger index they are searched.
+_DIRECT = 1 << 22
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,12 +150,16 @@ class Index:
         self.block_of, self.block_max = block[starts], np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
         self.term_first = np.searchsorted(self.rows[starts], np.arange(size + 1))
         self.group_key, self.group_start = key[starts], np.append(starts, len(key))
+        self.place = None
+        if size * self.n_blocks <= _DIRECT:
+            self.place = np.full(size * self.n_blocks, -1, np.int32)
+            self.place[self.group_key] = np.arange(len(starts))
 
     def candidates(self, window: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """(window, block) pairs whose bound reaches the threshold; each (window, term) comes once, in their order."""
         upto = np.cumsum(self.top[term])
-        first = np.searchsorted(window, np.arange(n + 1))
-        upto -= np.append(0.0, upto)[first[:-1]][window]
+        first = np.cumsum(np.bincount(window + 1, minlength=n + 1))
+        upto -= np.append(0.0, upto)[first[:n]][window]
         pivot = upto >= 1 - 1e-9  # from here on in each window, as the sums rise
         if not pivot.any():
             return np.zeros((0, 2), np.int64)
@@ -174,16 +180,25 @@ class Index:
         own, block, bound = own[near], block[near], bound[near]
         # The terms before the pivot, looked up in the blocks that are left.
         some = np.flatnonzero(~pivot)
-        low, high = np.searchsorted(window[some], own), np.searchsorted(window[some], own + 1)
+        first = np.cumsum(np.bincount(window[some] + 1, minlength=n + 1))
+        low, high = first[own], first[own + 1]
         which = np.repeat(np.arange(len(own)), high - low)
         terms = term[some][np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(which))]
-        wanted = terms * self.n_blocks + block[which]
-        g = np.minimum(np.searchsorted(self.group_key, wanted), max(0, len(self.group_key) - 1))
-        met = self.group_key[g] == wanted if len(self.group_key) else np.zeros(len(wanted), bool)
+        g = self._groups(terms * self.n_blocks + block[which])
+        met = g >= 0
         bound += np.bincount(which[met], self.block_max[g[met]], minlength=len(own))
         good = bound >= 1 - 1e-9
         return np.column_stack([own[good], block[good]])
 
+    def _groups(self, key: np.ndarray) -> np.ndarray:
+        """Places of (term, block) keys among the postings, -1 for those that have none."""
+        if self.place is not None:
+            return self.place[key]
+        if not len(self.group_key):
+            return np.full(len(key), -1)
+        g = np.minimum(np.searchsorted(self.group_key, key), len(self.group_key) - 1)
+        return np.where(self.group_key[g] == key, g, -1)
+
     def _postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the terms' block postings, and how many each has."""
         first, last = self.term_first[term], self.term_first[term + 1]
@@ -192,13 +207,13 @@ class Index:
 
     def scores(self, pairs: np.ndarray, window: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Scores of the entries of each (window, block) pair, a row of a block for each; ``window`` is sorted."""
-        first, last = np.searchsorted(window, pairs[:, 0]), np.searchsorted(window, pairs[:, 0] + 1)
+        upto = np.cumsum(np.bincount(window + 1, minlength=int(pairs[-1, 0]) + 2))
+        first, last = upto[pairs[:, 0]], upto[pairs[:, 0] + 1]
         size = last - first
         pair = np.repeat(np.arange(len(pairs)), size)
         at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        group = term[at] * self.n_blocks + pairs[pair, 1]
-        g = np.searchsorted(self.group_key, group)
-        met = self.group_key[np.minimum(g, len(self.group_key) - 1)] == group
+        g = self._groups(term[at] * self.n_blocks + pairs[pair, 1])
+        met = g >= 0
         pair, g = pair[met], g[met]
         size = self.group_start[g + 1] - self.group_start[g]
         at = np.repeat(self.group_start[g] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
