@@ -165,14 +165,18 @@ def _dealt(distinct: DataFrame, radius: int) -> DataFrame:
     return distinct.select("fp", F.explode(tables).alias("x")).select("x.t", "x.key", "fp")
 
 
+def _spread(distinct: DataFrame, parts: int) -> DataFrame:
+    """Fingerprints in so many partitions, as each row becomes one for every mask: by another hash than the one they come by, an exchange by which Spark would drop."""
+    return distinct.select("fp").repartition(parts, F.xxhash64("fp"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links that join any two fingerprints within the radius, if not directly then through others.
 
     ``distinct`` has each fingerprint once, in ``fp``.
     """
     parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Spread by another hash than the one they come by, which Spark would drop: each row becomes one for every mask.
-    spread = distinct.select("fp").repartition(parts, F.xxhash64("fp"))
+    spread = _spread(distinct, parts)
     some = _dealt(spread.where(F.pmod(F.xxhash64(F.lit("large"), "fp"), F.lit(SHARE)) == 0), radius)
     most = max(bucket, distinct.count() // LARGE)
     # At most LARGE for each mask, as every one has more than one in LARGE of the asked.

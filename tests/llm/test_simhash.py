@@ -107,3 +107,27 @@ def test_documents(spark):
     assert got[5] == got[4] == ("0" * 16, 4) and got[9][1] == got[3][1] == got[None][1] == 3 and got[7][1] == 7
     kept = simhash.deduplicated(spark.createDataFrame(rows + [(7, rows[4][1])], "doc_id long, text string"))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "7", "None"]
+
+
+def test_rows_of_all_masks_are_spread(spark):
+    """Behind an aggregate by fingerprint, too, and not merged for their few bytes."""
+    groups = spark.range(500).selectExpr("id % 300 AS fp").groupBy("fp").count()
+    spread = simhash._spread(groups, 7)
+    spread.collect()
+    assert "REPARTITION_BY_NUM" in spread._jdf.queryExecution().executedPlan().toString()
+    assert simhash._dealt(spread, 4).rdd.getNumPartitions() == 7 and simhash._dealt(spread, 4).count() == 300 * 31
+
+
+def test_a_bucket_over_several_batches():
+    """Members of a bucket that is too large are all passed on, whatever the batches; others give their links."""
+    import pyarrow as pa
+
+    rng, rows = random.Random(8), []
+    for key, n in ((1, 3), (2, 50), (3, 1), (4, 2), (5, 11), (6, 10), (7, 30)):
+        rows += [(0, key, x) for x in rng.sample(range(16), min(n, 16))] if n <= 11 else [(0, key, rng.getrandbits(60)) for _ in range(n)]
+    for size in (1, 2, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + size])], ["t", "key", "fp"]) for at in range(0, len(rows), size)]
+        got = [r for b in simhash._bucket_links(4, 10)(batches) for r in b.to_pylist()]
+        assert sorted((r["key"], r["a"]) for r in got if r["b"] is None) == sorted((k, x) for _, k, x in rows if k in (2, 5, 7))
+        pairs = [(r["a"], r["b"]) for r in got if r["b"] is not None]
+        assert len(pairs) == 2 + 1 + 9 and all(bin(a ^ b).count("1") <= 4 for a, b in pairs)
