@@ -1,9 +1,12 @@
 """Near duplicates by the similarity of five-word shingles: share of common ones of all, at least 0.8.
 
-Candidates: ``BANDS`` keys of each text, each over ``ROWS`` minima of its hashed shingles.  Two texts at
-similarity s share none with probability (1 - s**ROWS)**BANDS: 3 in a million at 0.8, less above.  A
-SimHash radius that covers 0.8 would have to be about 17 bits, with 2**18 - 1 tables.
-Linking: members of a bucket are compared by their whole sets of 64-bit shingle hashes; no estimate links.
+Candidates: first the groups that ``simhash`` makes of the fingerprints of these sets, by its covering masks:
+texts within ``simhash.RADIUS`` bits always meet.  Most pairs at 0.8 differ in more bits; a radius that covers
+them would have to be about 17, with 2**18 - 1 tables.  So the rest goes on with ``BANDS`` keys of each text,
+each over ``ROWS`` minima of its hashed shingles; two texts at similarity s share none with probability
+(1 - s**ROWS)**BANDS: 3 in a million at 0.8, less above.  Buckets of these keys whose members the
+fingerprints have linked already are left out.
+Linking: members of a group or bucket are compared by their whole sets of 64-bit shingle hashes; no estimate links.
 
 Copies are merged first by a 64-bit hash of their text.  Buckets of the same members are decided once.  A
 bucket gives a spanning forest of its links, never its pairs.  Buckets of more than ``HELD`` shingles are
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuboid.llm import common, simhash
@@ -92,12 +95,13 @@ def forest(sets: list[np.ndarray], share: float = SHARE) -> list[tuple[int, int]
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, listed = [], []
+        n, fps, listed = [], [], []
         for t in batch.column(2):
             found = shingles(t.as_py() or b"")
             n.append(len(found))
+            fps.append(simhash._signed(simhash.fingerprint_of(found)))
             listed.append(keys(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "copy", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "copy", "n", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +119,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; one may go on in the next batch."""
+    """Rows come sorted by bucket; one may go on in the next batch.  Each copy that is linked goes to the least one of its tree."""
     bucket, ids, sets = None, [], []
 
     def links():
-        pairs = forest(sets) if len(ids) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[p[side]] for p in pairs], pa.int64()) for side in (0, 1)], ["a", "b"])
+        root, least = {}, {}
+        for x, y in forest(sets) if len(ids) > 1 else []:
+            root[y] = top = root.setdefault(x, x)
+            least[top] = min(least.get(top, ids[top]), ids[y])
+        found = [(ids[i], least[top]) for i, top in root.items() if ids[i] != least[top]]
+        return pa.RecordBatch.from_arrays([pa.array([p[side] for p in found], pa.int64()) for side in (0, 1)], ["a", "b"])
 
     for batch in batches:
         names = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
@@ -139,14 +147,17 @@ def _copies(docs: DataFrame) -> DataFrame:
     return common.texts(docs).select("doc_id", F.xxhash64(text).alias("copy"), text.alias("text"))
 
 
-def links(docs: DataFrame, signed: DataFrame, held: int = HELD) -> DataFrame:
-    """(a, b) links of copies that join any two texts within the similarity, if not directly then through others."""
+def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
+    """Buckets of two copies and more, with what tells whether their members are the same."""
+    own = [F.count("*").alias("m"), F.sum("n").alias("total"), F.min("copy").alias("a"), F.max("copy").alias("b"), F.bit_xor(F.xxhash64("copy")).alias("x")]
+    return rows.groupBy("key").agg(*own, *more).where("m > 1")
+
+
+def _compared(docs: DataFrame, rows: DataFrame, buckets: DataFrame, total: int, held: int) -> DataFrame:
+    """(a, b) links among the copies of each bucket, by their whole sets; ``total`` is the number of ``rows``."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = distinct.select(F.explode("keys").alias("key"), "copy", "n")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("copy").alias("a"), F.max("copy").alias("b"), F.bit_xor(F.xxhash64("copy")).alias("x")).where("m > 1")
     once = buckets.groupBy("m", "total", "a", "b", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / held).cast("int").alias("blocks"), "m")
-    members = common.checkpointed(spread_join(rows, common.checkpointed(once), "key", "m", BANDS * signed.select("copy").distinct().count()).select("key", "blocks", "copy"))
+    members = common.checkpointed(spread_join(rows, common.checkpointed(once), "key", "m", total).select("key", "blocks", "copy"))
     own = F.pmod(F.xxhash64("copy", F.lit("block")), F.greatest("blocks", F.lit(1))).cast("int")
     dealt = members.select("key", "copy", own.alias("own"), F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "copy")
@@ -158,12 +169,32 @@ def links(docs: DataFrame, signed: DataFrame, held: int = HELD) -> DataFrame:
     return whole.mapInArrow(common.releasing(_bucket_links), "a long, b long").distinct()
 
 
+def links(docs: DataFrame, signed: DataFrame, held: int = HELD) -> DataFrame:
+    """(a, b) links of copies that join any two texts within the similarity, if not directly then through others."""
+    distinct = common.written(signed.groupBy("copy").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copies")
+    total = distinct.count()
+    fps = common.checkpointed(distinct.select(F.col("copy").alias("doc_id"), "fp", "n"))
+    near = common.checkpointed(simhash.grouped(fps).select(F.col("component_id").alias("key"), F.col("doc_id").alias("copy"), "n"))
+    linked = common.checkpointed(_compared(docs, near, _buckets(near), total, held))
+    # Copies of one root are linked; one may have another root too, from other blocks, which only leaves more to compare.
+    roots = linked.groupBy(F.col("a").alias("copy")).agg(F.min("b").alias("root"))
+    rows = distinct.select(F.explode("keys").alias("key"), "copy", "n")
+    rooted = distinct.join(roots, "copy", "left").select(F.explode("keys").alias("key"), "copy", "n", F.coalesce("root", "copy").alias("root"))
+    apart = _buckets(rooted, F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    rest = _compared(docs, rows, apart, BANDS * total, held)
+    common.discard(distinct)  # the members of all buckets are on their own
+    return linked.union(rest)
+
+
 def near_duplicates(docs: DataFrame, held: int = HELD) -> DataFrame:
     """(doc_id, component_id): one row for each document."""
-    signed = common.checkpointed(_copies(docs).mapInArrow(common.releasing(_keyed), "doc_id long, copy long, n long, keys array<long>"))
-    groups = common.checkpointed(signed.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = named(groups, components(links(docs, signed, held)), "copy", "rep")
-    return spread_join(signed.select("doc_id", "copy"), found.select("copy", "component_id", "n"), "copy", "n", signed.count()).select("doc_id", "component_id")
+    signed = common.written(_copies(docs).mapInArrow(common.releasing(_keyed), "doc_id long, copy long, n long, fp long, keys array<long>"), "signed")
+    copies = common.checkpointed(signed.select("doc_id", "copy"))
+    linked = links(docs, signed, held)
+    common.discard(signed)
+    groups = common.checkpointed(copies.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = named(groups, components(linked), "copy", "rep")
+    return spread_join(copies, found.select("copy", "component_id", "n"), "copy", "n", copies.count()).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

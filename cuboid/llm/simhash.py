@@ -56,10 +56,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     stops = ends[shingle - 1 :].tolist()
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, len(starts), _BLOCK):
-        hashed = np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + _BLOCK], stops[at : at + _BLOCK], strict=True)], np.uint64)
-        bits = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return sum(1 << j for j in np.flatnonzero(2 * counts > len(starts)).tolist())
+        counts += _bits_set(np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : at + _BLOCK], stops[at : at + _BLOCK], strict=True)], np.uint64))
+    return _majority(counts, len(starts))
+
+
+def fingerprint_of(hashed: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already; zero if there are none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashed), _BLOCK):
+        counts += _bits_set(hashed[at : at + _BLOCK])
+    return _majority(counts, len(hashed))
+
+
+def _bits_set(hashed: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int32)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return sum(1 << j for j in np.flatnonzero(2 * counts > n).tolist())
 
 
 def masks(radius: int = RADIUS, seed: int = 0x5EED) -> list[int]:
@@ -207,13 +222,17 @@ def _hot_links(members: DataFrame, radius: int) -> DataFrame:
     return keyed.join(least, ["t", "key", "word"]).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id, n_same): one row for each document."""
-    fps = common.checkpointed(fingerprints(docs))
+def grouped(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """``fps``, which has doc_id and fp, with component_id and n_same: the smallest doc_id that its fingerprint reaches, and the rows that share it."""
     groups = common.checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")).where("fp IS NOT NULL"))
     found = named(groups, components(links(groups.select("fp"), radius, bucket)), "fp", "rep")
     # A fingerprint that many documents have is brought to them.
-    return spread_join(fps, found.select("fp", "component_id", "n_same", F.col("n_same").alias("n")), "fp", "n", fps.count()).select("doc_id", "fp", "component_id", "n_same")
+    return spread_join(fps, found.select("fp", "component_id", "n_same", F.col("n_same").alias("__n")), "fp", "__n", fps.count())
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id, n_same): one row for each document."""
+    return grouped(common.checkpointed(fingerprints(docs)), radius, bucket).select("doc_id", "fp", "component_id", "n_same")
 
 
 def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
