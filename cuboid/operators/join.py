@@ -8,7 +8,9 @@ lower corner of what the two have in common, so no pair comes twice and nothing
 cells are split by Spark's handling of skewed joins.
 
 Each side is computed once: it is checkpointed, and its rows and extents are observed while it is written.
-Where the sides' rows make few pairs, which is checked, the smaller one is broadcast instead.
+Where the sides' rows make few pairs, which is checked, the smaller one is broadcast instead.  What was not
+counted is never broadcast: Spark's estimate knows nothing of the cells a box is dealt to, and follows the
+size of packed files, so a side of a few MB there may be a GB in the driver.
 """
 
 from __future__ import annotations
@@ -135,7 +137,7 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", h
     names = G.bound_names(dims)
     # Whether a row has a partner depends on its box alone: distinct boxes are joined, then rows with them.
     one = _Side(left if how == "inner" else left.select(*names).distinct(), axes, dims)
-    two = _Side(right if how == "inner" else right.select(*names), axes, dims)
+    two = _Side(right if how == "inner" else right.select(*names).distinct(), axes, dims)
     widths = _widths(one, two, axes)
     most = max((m / w for side in (one, two) for m, w in zip(side.most, widths)), default=1.0)
     top = min(_LEVELS, max(0, math.ceil(math.log(max(most, 1.0), _STEP))))
@@ -145,9 +147,9 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", h
     corner = reduce(and_, (_cell(F.greatest(a.lo[i], b.lo[i]), F.col("__level"), widths[i]) == F.col(f"__c{i}") for i in range(axes)))
     if how == "inner":
         return dealt.join(dealt_right, meets & condition & corner).drop(*cells, *(f"r_{c}" for c in cells))
-    met = dealt.join(dealt_right, meets & condition, "left_semi").select(*names).distinct()
+    met = dealt.join(dealt_right.hint("merge"), meets & condition, "left_semi").select(*names).distinct()
     same = reduce(and_, (left[n].eqNullSafe(met[n]) for n in names))
-    return left.join(met, same, how)
+    return left.join(met.hint("merge"), same, how)
 
 
 def batch_query_counts(records: DataFrame, queries: DataFrame, predicate: str = "intersects", **how) -> DataFrame:

@@ -63,6 +63,22 @@ def test_empty_sides(spark):
     assert join.box_join(left, none, how="left_anti", small=0).count() == 11
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_no_side_is_broadcast_by_an_estimate(spark, how):
+    # Ranges are known to be small, so that Spark would broadcast them, and what is made of them.
+    side = spark.range(40).select(F.col("id").cast("string").alias("row_id"), *(F.col("id").cast("float").alias(n) for n in G.bound_names(2)))
+    plan = join.box_join(side, side, how=how, small=0)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_repeated_partners_are_dealt_once(spark):
+    left, right = boxes(spark, 30, 9), boxes(spark, 30, 10)
+    many = right.crossJoin(spark.range(50).select(F.col("id").alias("copy"))).drop("copy")
+    for how in ("left_semi", "left_anti"):
+        once, often = (join.box_join(left, x, how=how, small=0) for x in (right, many))
+        assert sorted(r["row_id"] for r in once.collect()) == sorted(r["row_id"] for r in often.collect())
+
+
 def test_counts_keep_queries_without_matches(spark):
     records, queries = boxes(spark, 200, 4), boxes(spark, 30, 5).withColumnRenamed("row_id", "qid")
     a, b = records.collect(), queries.collect()
