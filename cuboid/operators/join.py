@@ -146,7 +146,7 @@ def box_join(left: DataFrame, right: DataFrame, predicate: str = "intersects", h
     meets = reduce(and_, (F.col(c) == F.col(f"r_{c}") for c in cells))
     corner = reduce(and_, (_cell(F.greatest(a.lo[i], b.lo[i]), F.col("__level"), widths[i]) == F.col(f"__c{i}") for i in range(axes)))
     if how == "inner":
-        return dealt.join(dealt_right, meets & condition & corner).drop(*cells, *(f"r_{c}" for c in cells))
+        return dealt.join(dealt_right.hint("merge"), meets & condition & corner).drop(*cells, *(f"r_{c}" for c in cells))
     met = dealt.join(dealt_right.hint("merge"), meets & condition, "left_semi").select(*names).distinct()
     same = reduce(and_, (left[n].eqNullSafe(met[n]) for n in names))
     return left.join(met.hint("merge"), same, how)

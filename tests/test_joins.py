@@ -63,7 +63,7 @@ def test_empty_sides(spark):
     assert join.box_join(left, none, how="left_anti", small=0).count() == 11
 
 
-@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
 def test_no_side_is_broadcast_by_an_estimate(spark, how):
     # Ranges are known to be small, so that Spark would broadcast them, and what is made of them.
     side = spark.range(40).select(F.col("id").cast("string").alias("row_id"), *(F.col("id").cast("float").alias(n) for n in G.bound_names(2)))
