@@ -172,7 +172,7 @@ class IndexTable:
     def _write(self, records: DataFrame, name: str, files: int | None, most_rows: int = 0) -> dict:
         """A part's entry; rows and bounds are observed while it is written."""
         where, seen = f"{self.path.rstrip('/')}/{name}", Observation()
-        # Any extent serves the key's order; the one that the manifest has saves a pass over the records.
+        # Records may lie outside the extent that the manifest has, which saves a pass over them: the key has room for that.
         laid = layout.clustered(records, files, self.extent())
         laid.observe(seen, F.count(F.lit(1)).alias("n"), *G.union_agg(self.dims)).write.option("maxRecordsPerFile", most_rows).parquet(where)
         row = seen.get

@@ -128,6 +128,21 @@ def test_clustering_narrows_the_files(spark, tmp_path):
     assert hit[1] < hit[0]
 
 
+@pytest.mark.parametrize("dims", [1, 2, 3, 4])
+def test_records_outside_the_extent_are_ranged_too(spark, dims):
+    """All lie above the extent that scales the key, as those of a table's next batch may."""
+    far = records_from_points(spark.range(4000).selectExpr("id", "40.0 + id % 50 AS x", "40.0 + id div 50 AS y"), "id", ["x", "y", "x", "y"][:dims])
+    laid = layout.clustered(far, 8, [(0.0, 15.0)] * dims).selectExpr("*", "spark_partition_id() AS p").groupBy("p").agg({"*": "count", "min_0": "min", "max_0": "max"}).collect()
+    assert len(laid) == 8 and max(r["count(1)"] for r in laid) <= 1000
+    assert min(r["max(max_0)"] - r["min(min_0)"] for r in laid) < 25
+
+
+def test_records_of_one_place_are_dealt_to_all_files(spark):
+    same = records_from_points(spark.range(4000).selectExpr("id", "7.0 AS x", "8.0 AS y"), "id", ["x", "y"])
+    laid = layout.clustered(same, 8).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(laid) == 8 and max(r["count"] for r in laid) <= 1000
+
+
 def test_registry(spark, tmp_path):
     for name in ("geo", "time", "features"):
         IndexTable.create(spark, str(tmp_path / name), 2).append(grid(spark, 0, 10))
