@@ -137,6 +137,16 @@ def test_records_outside_the_extent_are_ranged_too(spark, dims):
     assert min(r["max(max_0)"] - r["min(min_0)"] for r in laid) < 25
 
 
+def test_a_later_batch_is_dealt_to_all_files(spark, tmp_path):
+    """As of durability_policies: a first batch of small values, then one of large ones, of few distinct values."""
+    table = IndexTable.create(spark, str(tmp_path / "t"), 1, durability="STRICT")
+    points = records_from_points(spark.range(6000).selectExpr("id", "double(1 + id % 50) AS x"), "id", ["x"])
+    table.append(points.where("min_0 <= 15"), files=8, batch="a")
+    table.append(points.where("min_0 > 15"), files=8, batch="b")
+    second = [r["n"] for r in table.zone_map().collect() if r["min_0"] > 15]
+    assert sum(second) == 4200 and len(second) == 8 and max(second) <= 1050
+
+
 def test_records_of_one_place_are_dealt_to_all_files(spark):
     same = records_from_points(spark.range(4000).selectExpr("id", "7.0 AS x", "8.0 AS y"), "id", ["x", "y"])
     laid = layout.clustered(same, 8).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
